@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from wardlight.plans import incident_reports, request_reports  # noqa: F401
+from wardlight.plans import incident_reports, lifecycle_reports, request_reports  # noqa: F401
 from wardlight.plans.registry import ORACLES, QUERIES  # noqa: F401
