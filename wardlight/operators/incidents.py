@@ -141,10 +141,16 @@ def hotspot_zones(r, i, types, loc, as_of_r, as_of_i, crime_steps=(10, 6, 3), re
     return out.filter(F.col("total_incidents") > 0).orderBy(F.col("total_incidents").desc(), "location_id")
 
 
-def safety_level(crimes: Column, requests: Column) -> Column:
+# Points lost per incident, severe incident and request.
+SAFETY_WEIGHTS = (4.0, 3.0, 0.5)
+# Risk points per incident, night incident and lighting request.
+RISK_WEIGHTS = (4.0, 3.0, 2.0)
+
+
+def safety_level(crimes: Column, requests: Column, weights=SAFETY_WEIGHTS) -> Column:
     """Risk level of a location. Only the first step looks at requests; none looks at severity."""
-    base = F.greatest(F.lit(0), 100 - crimes * 4)
-    with_requests = F.greatest(F.lit(0.0), 100 - crimes * 4 - requests * 0.5)
+    base = F.greatest(F.lit(0.0), F.lit(100.0) - crimes * weights[0])
+    with_requests = F.greatest(F.lit(0.0), F.lit(100.0) - crimes * weights[0] - requests * weights[2])
     return (
         F.when(with_requests >= 80, "very_low")
         .when(base >= 60, "low")
@@ -154,12 +160,12 @@ def safety_level(crimes: Column, requests: Column) -> Column:
     )
 
 
-def safety_scores(r, i, types, loc, as_of_r, as_of_i) -> DataFrame:
+def safety_scores(r, i, types, loc, as_of_r, as_of_i, weights=SAFETY_WEIGHTS) -> DataFrame:
     """clamp(100 - 4 crimes - 3 severe - 0.5 requests, 0, 100) per location, over 30 days."""
     counts = location_counts(r, i, types, loc.select("location_id"), as_of_r, as_of_i)
     crimes, severe, asks = (F.col(c) for c in ("crime_count_30d", "critical_crimes_30d", "request_count_30d"))
-    raw = F.lit(100.0) - crimes * 4 - severe * 3 - asks * 0.5
-    return counts.withColumns({"safety_score": clamp(raw, 0.0, 100.0), "risk_level": safety_level(crimes, asks)})
+    raw = F.lit(100.0) - crimes * weights[0] - severe * weights[1] - asks * weights[2]
+    return counts.withColumns({"safety_score": clamp(raw, 0.0, 100.0), "risk_level": safety_level(crimes, asks, weights)})
 
 
 def safety_ranking(scores: DataFrame, loc: DataFrame) -> DataFrame:
@@ -171,7 +177,7 @@ def safety_by_zone(scores: DataFrame, loc: DataFrame) -> DataFrame:
     return zones.groupBy("zone").agg(stat("safety_score", "avg", 1).alias("avg_safety")).orderBy(F.col("avg_safety").desc(), "zone")
 
 
-def location_risk(r, i, cat, loc, as_of_r, as_of_i, k: int = 20, issue: str = "Street Light") -> DataFrame:
+def location_risk(r, i, cat, loc, as_of_r, as_of_i, k: int = 20, issue: str = "Street Light", weights=RISK_WEIGHTS) -> DataFrame:
     """min(100, 4 crimes + 3 night crimes + 2 lighting requests) per placed location, top k.
 
     Crimes and night crimes come from the same aggregate, so the incidents are read once.
@@ -190,8 +196,9 @@ def location_risk(r, i, cat, loc, as_of_r, as_of_i, k: int = 20, issue: str = "S
     counts = ("crime_count_30d", "night_crime_count", "street_light_issues")
     placed = loc.select(*PLACE).filter("latitude IS NOT NULL AND longitude IS NOT NULL")
     out = left_join_aggs(placed, [crimes, lights], "location_id", counts)
-    score = F.col("crime_count_30d") * 4 + F.col("night_crime_count") * 3 + F.col("street_light_issues") * 2
-    out = out.withColumn("risk_score", F.round(F.least(F.lit(100.0), score.cast("double")), 2))
+    score = F.col("crime_count_30d") * weights[0] + F.col("night_crime_count") * weights[1]
+    score = score + F.col("street_light_issues") * weights[2]
+    out = out.withColumn("risk_score", F.round(F.least(F.lit(100.0), score), 2))
     return out.orderBy(F.col("risk_score").desc(), "location_id").limit(k)
 
 

@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from wardlight.plans import incident_reports, lifecycle_reports, request_reports  # noqa: F401
+from wardlight.plans import (  # noqa: F401
+    building_blocks,
+    incident_reports,
+    lifecycle_reports,
+    request_reports,
+    source_reports,
+    text_reports,
+)
 from wardlight.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -77,11 +77,11 @@ COUNTS = """crimes AS (SELECT location_id, count(*) AS n, count(*) FILTER (sever
 @query(
     "q22_hotspot_zones",
     with_views(
-        "lines few types loc",
-        "WITH " + COUNTS.format(inc="few", req="lines").replace("{{", "{").replace("}}", "}") + """
-        SELECT *, CASE WHEN crime_count_30d >= 10 OR request_count_30d >= 15 THEN 'critical'
-          WHEN crime_count_30d >= 6 OR request_count_30d >= 10 THEN 'high'
-          WHEN crime_count_30d >= 3 OR request_count_30d >= 5 THEN 'moderate' ELSE 'normal' END AS hotspot_level
+        "lines inc types loc",
+        "WITH " + COUNTS.format(inc="inc", req="lines").replace("{{", "{").replace("}}", "}") + """
+        SELECT *, CASE WHEN crime_count_30d >= 425 OR request_count_30d >= 45 THEN 'critical'
+          WHEN crime_count_30d >= 400 OR request_count_30d >= 35 THEN 'high'
+          WHEN crime_count_30d >= 380 OR request_count_30d >= 25 THEN 'moderate' ELSE 'normal' END AS hotspot_level
         FROM (SELECT l.location_id, area_name, ward_number, zone, latitude, longitude, coalesce(c.n, 0) AS crime_count_30d,
           coalesce(a.n, 0) AS request_count_30d, coalesce(c.crit, 0) AS critical_crimes,
           coalesce(c.n, 0) + coalesce(a.n, 0) AS total_incidents
@@ -90,42 +90,52 @@ COUNTS = """crimes AS (SELECT location_id, count(*) AS n, count(*) FILTER (sever
     ),
 )
 def q22(r):
-    return I.hotspot_zones(r.lines(location=True), r.few_incidents(), r.types, r.loc, REQ_AS_OF, INC_AS_OF)
+    steps = {"crime_steps": (425, 400, 380), "request_steps": (45, 35, 25)}
+    return I.hotspot_zones(r.lines(location=True), r.incidents(), r.types, r.loc, REQ_AS_OF, INC_AS_OF, **steps)
+
 
+# Weights scaled to the density of the role data, so that scores fall inside 0..100.
+SCALED_SAFETY = (0.125, 0.125, 0.5)
+SCALED_RISK = (0.0625, 0.25, 2.0)
 
-def scores_sql(inc: str) -> str:
-    return COUNTS.format(inc=inc, req="req").replace("{{", "{").replace("}}", "}") + """,
+
+def scores_sql(weights=SCALED_SAFETY) -> str:
+    crime, severe, request = (f"CAST({w} AS DOUBLE)" for w in weights)
+    return COUNTS.format(inc="inc", req="req").replace("{{", "{").replace("}}", "}") + f""",
         scores AS (SELECT location_id, crime_count_30d, critical_crimes_30d, request_count_30d,
-          CAST(greatest(0, least(100, 100 - crime_count_30d * 4 - critical_crimes_30d * 3 - request_count_30d * 0.5)) AS DOUBLE) AS safety_score,
-          CASE WHEN greatest(0, 100 - crime_count_30d * 4 - request_count_30d * 0.5) >= 80 THEN 'very_low'
-            WHEN greatest(0, 100 - crime_count_30d * 4) >= 60 THEN 'low' WHEN greatest(0, 100 - crime_count_30d * 4) >= 40 THEN 'moderate'
-            WHEN greatest(0, 100 - crime_count_30d * 4) >= 20 THEN 'high' ELSE 'critical' END AS risk_level
+          greatest(0, least(100, 100 - crime_count_30d * {crime} - critical_crimes_30d * {severe} - request_count_30d * {request})) AS safety_score,
+          CASE WHEN greatest(0, 100 - crime_count_30d * {crime} - request_count_30d * {request}) >= 80 THEN 'very_low'
+            WHEN greatest(0, 100 - crime_count_30d * {crime}) >= 60 THEN 'low' WHEN greatest(0, 100 - crime_count_30d * {crime}) >= 40 THEN 'moderate'
+            WHEN greatest(0, 100 - crime_count_30d * {crime}) >= 20 THEN 'high' ELSE 'critical' END AS risk_level
           FROM (SELECT l.location_id, coalesce(c.n, 0) AS crime_count_30d, coalesce(c.severe, 0) AS critical_crimes_30d,
             coalesce(a.n, 0) AS request_count_30d
             FROM loc l LEFT JOIN crimes c ON l.location_id = c.location_id LEFT JOIN asks a ON l.location_id = a.location_id))"""
 
 
-def scores(r, few=True):
-    inc = r.few_incidents() if few else r.incidents()
-    return I.safety_scores(r.requests(resolved=False), inc, r.types, r.loc, REQ_AS_OF, INC_AS_OF)
+def scores(r, weights=SCALED_SAFETY):
+    req = r.requests(resolved=False)
+    return I.safety_scores(req, r.incidents(), r.types, r.loc, REQ_AS_OF, INC_AS_OF, weights)
 
 
-@query("q23_safety_scores", with_views("req few types loc", "WITH " + scores_sql("few") + " SELECT * FROM scores"))
+@query(
+    "q23_safety_scores",
+    with_views("req inc types loc", "WITH " + scores_sql(I.SAFETY_WEIGHTS) + " SELECT * FROM scores"),
+)
 def q23(r):
-    return scores(r)
+    return scores(r, I.SAFETY_WEIGHTS)
 
 
-@query("q23_safety_scores_clamped", with_views("req inc types loc", "WITH " + scores_sql("inc") + " SELECT * FROM scores"))
-def q23_clamped(r):
-    return scores(r, few=False)
+@query("q23_safety_scores_scaled", with_views("req inc types loc", "WITH " + scores_sql() + " SELECT * FROM scores"))
+def q23_scaled(r):
+    return scores(r)
 
 
 RISK = """crimes AS (SELECT location_id, count(*) AS n,
           count(*) FILTER (time_of_day = 'night' OR (incident_hour IS NOT NULL AND incident_hour >= 20)) AS night
-          FROM few WHERE incident_date >= {I_TODAY} - 30 GROUP BY 1),
+          FROM inc WHERE incident_date >= {I_TODAY} - 30 GROUP BY 1),
         lights AS (SELECT location_id, count(*) AS n FROM req r JOIN cat c ON r.cat_id = c.cat_id
           WHERE submitted_at >= {R_NOW} - INTERVAL 30 DAY AND cat_name ILIKE '%build%' GROUP BY 1),
-        risk AS (SELECT *, CAST(least(100, crime_count_30d * 4 + night_crime_count * 3 + street_light_issues * 2) AS DOUBLE) AS risk_score
+        risk AS (SELECT *, round(least(100, crime_count_30d * CAST(0.0625 AS DOUBLE) + night_crime_count * CAST(0.25 AS DOUBLE) + street_light_issues * CAST(2 AS DOUBLE)), 2) AS risk_score
           FROM (SELECT l.location_id, area_name, ward_number, zone, latitude, longitude, coalesce(c.n, 0) AS crime_count_30d,
             coalesce(c.night, 0) AS night_crime_count, coalesce(g.n, 0) AS street_light_issues
             FROM loc l LEFT JOIN crimes c ON l.location_id = c.location_id LEFT JOIN lights g ON l.location_id = g.location_id
@@ -134,10 +144,11 @@ RISK = """crimes AS (SELECT location_id, count(*) AS n,
 
 
 def risk(r):
-    return I.location_risk(r.requests(resolved=False), r.few_incidents(), r.cat, r.loc, REQ_AS_OF, INC_AS_OF, 20, "Build")
+    req = r.requests(resolved=False)
+    return I.location_risk(req, r.incidents(), r.cat, r.loc, REQ_AS_OF, INC_AS_OF, 20, "Build", SCALED_RISK)
 
 
-@query("q24_location_risk", with_views("req few cat loc", f"WITH {RISK} SELECT * FROM risk"))
+@query("q24_location_risk", with_views("req inc cat loc", f"WITH {RISK} SELECT * FROM risk"))
 def q24(r):
     return risk(r)
 
@@ -151,7 +162,7 @@ CALENDAR = """calendar AS (SELECT risk.*, CAST({I_TODAY} + CAST(d AS INTEGER) AS
 @query(
     "q25_risk_calendar",
     with_views(
-        "req few cat loc",
+        "req inc cat loc",
         f"""WITH {RISK}, {CALENDAR} SELECT *, '{{"crime_count_30d":' || crime_count_30d || ',"night_crime_count":' || night_crime_count
         || ',"street_light_issues":' || street_light_issues || '}}' AS contributing_factors FROM calendar""",
     ),
@@ -164,8 +175,8 @@ def q25(r):
 @query(
     "q26_safety_ranking",
     with_views(
-        "req few types loc",
-        "WITH " + scores_sql("few") + """ SELECT s.*, area_name, ward_number, zone, latitude, longitude
+        "req inc types loc",
+        "WITH " + scores_sql() + """ SELECT s.*, area_name, ward_number, zone, latitude, longitude
         FROM scores s JOIN loc l ON s.location_id = l.location_id""",
     ),
 )
@@ -235,8 +246,8 @@ def q31(r):
 @query(
     "q32_safety_by_zone",
     with_views(
-        "req few types loc",
-        "WITH " + scores_sql("few") + """ SELECT zone, round(avg(safety_score), 1) AS avg_safety
+        "req inc types loc",
+        "WITH " + scores_sql() + """ SELECT zone, round(avg(safety_score), 1) AS avg_safety
         FROM scores s JOIN loc l ON s.location_id = l.location_id GROUP BY 1""",
     ),
 )
@@ -247,13 +258,13 @@ def q32(r):
 @query(
     "q35_prediction_feed",
     with_views(
-        "req few inc cat loc",
+        "req inc cat loc",
         f"""WITH {RISK}, {CALENDAR} SELECT c.location_id, c.predicted_date, c.risk_score, c.risk_level, c.area_name, c.ward_number,
         c.zone, c.latitude, c.longitude, (SELECT count(*) FROM inc i WHERE i.location_id = c.location_id
           AND incident_date >= {{I_TODAY}} - 30) AS recent_crimes_30d
-        FROM calendar c WHERE predicted_date BETWEEN {{I_TODAY}} AND {{I_TODAY}} + 5 AND risk_level = 'medium'""",
+        FROM calendar c WHERE predicted_date BETWEEN {{I_TODAY}} AND {{I_TODAY}} + 5 AND risk_level = 'high'""",
     ),
 )
 def q35(r):
     stored = I.risk_calendar(risk(r), INC_AS_OF, 7).select("location_id", "predicted_date", "risk_score", "risk_level")
-    return I.prediction_feed(stored, r.incidents(), r.loc, INC_AS_OF, 5, "medium")
+    return I.prediction_feed(stored, r.incidents(), r.loc, INC_AS_OF, 5, "high")

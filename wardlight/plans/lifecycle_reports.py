@@ -254,7 +254,7 @@ def l11(r):
 @query(
     "l12_ai_log",
     """SELECT 'ai_categorized' AS log_type, 'complaint' AS entity_type, o_orderkey AS entity_id,
-      'AI suggested: ' || o_orderpriority || ' (' || printf('%.2f', (o_orderkey % 101)) || '%)' AS message, CAST(NULL AS VARCHAR) AS meta_json
+      'AI suggested: ' || o_orderpriority || ' (' || printf('%.2f', CAST(o_orderkey % 101 AS DOUBLE)) || '%)' AS message, CAST(NULL AS VARCHAR) AS meta_json
       FROM orders WHERE o_orderstatus <> 'P'""",
 )
 def l12(r):
@@ -373,7 +373,14 @@ def w07(r):
 
 # -- duplicates and community --------------------------------------------------------
 
-@query("q43_duplicate_requests")
+
+@query(
+    "q43_duplicate_requests",
+    r"""WITH k AS (SELECT doc_id, lang, array_to_string(list_sort(list_distinct(list_filter(
+          regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))), ' ') AS words FROM documents),
+        g AS (SELECT lang, words, min(doc_id) AS original_id, count(*) AS copies FROM k GROUP BY ALL HAVING count(*) > 1)
+        SELECT doc_id, lang, original_id, copies FROM k JOIN g USING (lang, words) WHERE doc_id <> original_id""",
+)
 def q43(r):
     return C.duplicate_requests(r.t["documents"], "doc_id", "text", ["lang"])
 
@@ -466,11 +473,10 @@ def d01(r):
 
 @query(
     "d02_check_fk",
-    "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3) GROUP BY 1",
+    "SELECT doc_id, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
 )
 def d02(r):
-    known = r.t["customer"].filter(F.col("c_custkey") % 10 != 3)
-    return D.check_fk(r.t["orders"], "o_custkey", known, "c_custkey")
+    return D.check_fk(r.t["documents"], "doc_id", r.t["labels"], "doc_id")
 
 
 @query("d03_check_domain", "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click','view','purchase')")

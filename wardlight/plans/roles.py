@@ -239,10 +239,6 @@ class Roles:
             F.col("ts").alias("created_at"),
         )
 
-    def few_incidents(self) -> DataFrame:
-        """Severe incidents thinned by type and k, so that safety scores fall inside 0..100."""
-        return self.incidents().filter((F.col("crime_type_id") == 1) & (F.col("k") < 5))
-
     # -- logs and state -----------------------------------------------------------
 
     def status_events(self) -> DataFrame:

@@ -65,7 +65,6 @@ VIEWS = {
       CAST(73.70 AS DOUBLE) + CAST(user_id % 25 AS INTEGER) * CAST(0.01 AS DOUBLE) AS longitude,
       {_K} % 4 AS victim_count, {_case(f"{_K} % 5", R.INCIDENT_STATUS)} AS status, 0 AS is_hotspot_flag, {_K} AS k,
       ts AS created_at FROM events""",
-    "few": "SELECT * FROM inc WHERE crime_type_id = 1 AND k < 5",
     "sev": "SELECT user_id AS request_id, event_id, event_type AS new_status, ts AS event_at FROM events",
     "prefs": """SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 = 0 THEN 'alt' || c_custkey || '@example.org' END AS preferred_email,
       CAST(c_custkey % 24 AS INTEGER) AS preferred_hour, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 END AS quiet_hours_enabled,
@@ -81,7 +80,7 @@ VIEWS = {
       CASE WHEN resolution_hours <= 17520 THEN 1 ELSE 0 END AS is_satisfied
       FROM req WHERE status IN ('resolved','closed') AND resolved_at IS NOT NULL""",
 }
-NEEDS = {"few": ["inc"], "fb": ["req"]}
+NEEDS = {"fb": ["req"]}
 
 R_NOW = f"TIMESTAMP '{R.REQ_AS_OF}'"
 I_NOW = f"TIMESTAMP '{R.INC_AS_OF}'"
