@@ -21,8 +21,12 @@ from wardlight.sources import schemas
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
-    """A file stream; the trigger cap bounds how much one micro-batch takes in."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A file stream; the trigger cap bounds how much one micro-batch takes in.
+
+    The trailing `*` makes the path a glob, which a stream needs to read a single file and
+    which matches a folder of the same name just as well.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
 
 
 def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -94,7 +98,8 @@ def stream_sla(submitted: DataFrame, resolved: DataFrame, max_sla_hours: int, de
 
     `submitted` has request_id, submitted_at, sla_hours and may_resolve; `resolved` has
     request_id and resolved_at. A left outer stream join keeps a request until its deadline
-    and lets only the unanswered ones out, all on the JVM.
+    and lets only the unanswered ones out, all on the JVM. `may_resolve` is tested together
+    with the answer: a condition on the request alone would let it out before its deadline.
     """
     hours = F.make_dt_interval(F.lit(0), F.col("sla_hours"))
     due = submitted.withColumn("deadline", F.col("submitted_at") + hours).withWatermark("deadline", delay)
@@ -104,7 +109,7 @@ def stream_sla(submitted: DataFrame, resolved: DataFrame, max_sla_hours: int, de
         & (F.col("resolved_at") <= F.col("deadline"))
         & (F.col("resolved_at") >= F.col("deadline") - F.expr(f"INTERVAL {int(max_sla_hours)} HOUR"))
         & (F.col("resolved_at") > F.col("submitted_at"))
-        & F.col("may_resolve")
+        & F.when(F.col("may_resolve"), F.col("resolved_at")).isNotNull()
     )
     unanswered = due.join(answers, in_time, "leftOuter").filter(F.col("_id").isNull())
     return unanswered.select("request_id", "submitted_at", "sla_hours", "deadline")
