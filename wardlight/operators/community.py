@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlight.functions.columns import ago, as_of_ts
 from wardlight.functions.measures import count_where, is_done, n_rows, status_is
 from wardlight.operators.windows import ranked
+from wardlight.session import materialize
 
 
 def word_set(text) -> Column:
@@ -22,11 +23,12 @@ def duplicate_requests(r: DataFrame, id_col: str, text: str, block: list[str]) -
 
     Two texts match when their sets of words are equal, whatever the order, case and
     punctuation. Every later request is linked to the first of its group, so a group of n
-    copies gives n - 1 rows, not all pairs. The first is a combinable minimum per hash of
-    the word set, and only (id, hash) is shuffled, never the text.
+    copies gives n - 1 rows, not all pairs. The texts are read once into a table of
+    (id, block, hash of the word set); the first id is a combinable minimum over it, and
+    texts are never shuffled.
     """
     words = F.array_join(word_set(text), " ")
-    keyed = r.select(id_col, *block, F.md5(words).alias("_print"))
+    keyed = materialize(r.select(id_col, *block, F.md5(words).alias("_print")), "fingerprints")
     first = keyed.groupBy(*block, "_print").agg(F.min(id_col).alias("original_id"), n_rows().alias("copies"))
     linked = keyed.join(first.filter("copies > 1"), [*block, "_print"])
     return linked.filter(F.col(id_col) != F.col("original_id")).select(id_col, *block, "original_id", "copies")

@@ -73,29 +73,36 @@ def any_of(text, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [has_text(text, w) for w in words], F.lit(False))
 
 
-def _label_scores(text, keywords: dict[str, list[str]]) -> Column:
-    """Array of (label, hits, score), best first, ties in label order; NULL for short texts."""
-    counted = F.array(
-        *[
-            F.struct((-hits(text, words)).alias("neg"), F.lit(n).alias("pos"), F.lit(label).alias("label"))
-            for n, (label, words) in enumerate(keywords.items())
-        ]
-    )
-    ranked = F.sort_array(counted)
-
-    def weight(neg):
-        return F.greatest(F.lit(0.1), (-neg).cast("double"))
+def _with_scores(docs: DataFrame, keywords: dict[str, list[str]], id_col: str, text: str) -> DataFrame:
+    """(id, _text, _scores): labels with hits and score, best first, ties in label order.
 
-    total = F.aggregate(ranked, F.lit(0.0), lambda acc, x: acc + weight(x["neg"]))
-    return F.transform(
-        ranked,
-        lambda x: F.struct(x["label"].alias("label"), (-x["neg"]).alias("hits"), (weight(x["neg"]) / total).alias("score")),
-    )
+    Lower-casing, counting and ranking are separate steps, so each text is lower-cased and
+    searched once however often its counts are used.
+    """
+    lowered = docs.select(id_col, F.col(text).alias("_text"), F.lower(text).alias("_lower"))
+    counts = [
+        reduce(lambda a, b: a + b, [F.contains("_lower", F.lit(w.lower())).cast("int") for w in words], F.lit(0))
+        for words in keywords.values()
+    ]
+    counted = lowered.select(id_col, "_text", *[c.alias(f"_h{n}") for n, c in enumerate(counts)])
+    weights = [F.greatest(F.lit(0.1), F.col(f"_h{n}").cast("double")) for n in range(len(keywords))]
+    weighed = counted.withColumn("_total", reduce(lambda a, b: a + b, weights))
+    rows = [
+        F.struct(
+            (-F.col(f"_h{n}")).alias("neg"),
+            F.lit(n).alias("pos"),
+            F.lit(label).alias("label"),
+            F.col(f"_h{n}").alias("hits"),
+            (weights[n] / F.col("_total")).alias("score"),
+        )
+        for n, label in enumerate(keywords)
+    ]
+    return weighed.select(id_col, "_text", F.sort_array(F.array(*rows)).alias("_scores"))
 
 
 def category_scores(docs: DataFrame, keywords: dict = CATEGORY_KEYWORDS, id_col="doc_id", text="text") -> DataFrame:
     """One row per document and label: hits, share of the summed weights, and rank."""
-    scored = docs.select(id_col, F.posexplode(_label_scores(text, keywords)).alias("_pos", "s"))
+    scored = _with_scores(docs, keywords, id_col, text).select(id_col, F.posexplode("_scores").alias("_pos", "s"))
     return scored.select(id_col, "s.label", "s.hits", "s.score", (F.col("_pos") + 1).alias("rank"))
 
 
@@ -132,18 +139,16 @@ def suggest_categories(
     routes = label_categories(cat, list(keywords), rules)
     entry = F.struct("label", F.struct("cat_id", "cat_name", F.coalesce("icon_class", F.lit("fa-exclamation-circle")).alias("icon")))
     lookup = routes.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-    long_enough = docs.filter(F.length(F.trim(text)) >= 5).select(id_col, _label_scores(text, keywords).alias("_s"), lookup.alias("_m"))
-    mapped = F.filter(
-        F.transform(
-            "_s",
-            lambda s: F.struct(F.element_at(F.col("_m"), s["label"]).alias("c"), F.round(s["score"], 4).alias("confidence")),
-        ),
-        lambda x: x["c"].isNotNull(),
+    long_enough = docs.filter(F.length(F.trim(text)) >= 5)
+    scored = _with_scores(long_enough, keywords, id_col, text).select(id_col, "_scores", lookup.alias("_map"))
+    mapped = F.transform(
+        "_scores",
+        lambda s: F.struct(F.element_at(F.col("_map"), s["label"]).alias("c"), F.round(s["score"], 4).alias("confidence")),
     )
-    listed = long_enough.select(id_col, mapped.alias("_l"))
-    ids = F.transform("_l", lambda x: x["c"]["cat_id"])
-    first = F.filter("_l", lambda x, i: F.array_position(ids, x["c"]["cat_id"]) == i + 1)
-    exploded = listed.select(id_col, F.posexplode(F.slice(first, 1, k)).alias("_pos", "x"))
+    listed = scored.select(id_col, F.filter(mapped, lambda x: x["c"].isNotNull()).alias("_l"))
+    numbered = listed.withColumn("_ids", F.transform("_l", lambda x: x["c"]["cat_id"]))
+    first = F.filter("_l", lambda x, i: F.array_position(F.col("_ids"), x["c"]["cat_id"]) == i + 1)
+    exploded = numbered.select(id_col, F.posexplode(F.slice(first, 1, k)).alias("_pos", "x"))
     return exploded.select(
         id_col,
         (F.col("_pos") + 1).alias("rank"),
@@ -159,18 +164,21 @@ def score_urgency(docs: DataFrame, keywords: dict = URGENCY_KEYWORDS, compound=N
 
     `compound` names a polarity column in -1..1 (see `polarity`); without it polarity is 0.
     """
-    body = F.col(text) if isinstance(text, str) else text
     mood = F.lit(0.0) if compound is None else F.coalesce(F.col(compound).cast("double"), F.lit(0.0))
     words = [w for level in keywords.values() for w in level]
-    found = F.array_compact(F.array(*[F.when(has_text(body, w), F.lit(w)) for w in words]))
-    shouting = F.least(F.lit(2.0), count_char(body, "!") * 0.25)
-    out = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
+    found = F.array_compact(F.array(*[F.when(F.contains("_lower", F.lit(w.lower())), F.lit(w)) for w in words]))
+    shouting = F.least(F.lit(2.0), count_char(text, "!") * 0.25)
+    out = docs.withColumn("_lower", F.lower(F.coalesce(text, F.lit("")))).withColumn("_found", found).drop("_lower")
     n = F.size("_found")
+
+    def listed(level):
+        return F.arrays_overlap("_found", F.array(*[F.lit(w) for w in keywords.get(level, [])]).cast("array<string>"))
+
     anger = clamp(mood * -8.0 + F.coalesce(shouting, F.lit(0.0)) + F.when(n > 0, 1.5).otherwise(0.0), 0.0, 10.0)
     out = out.withColumns({"_anger": anger, "emotional_intensity": F.least(F.lit(1.0), F.abs(mood) + n * 0.1)})
     level = (
-        F.when(any_of(body, keywords.get("critical", [])) | (F.col("_anger") >= 8.0), "critical")
-        .when(any_of(body, keywords.get("high", [])) | (F.col("_anger") >= 6.0), "high")
+        F.when(listed("critical") | (F.col("_anger") >= 8.0), "critical")
+        .when(listed("high") | (F.col("_anger") >= 6.0), "high")
         .when(F.col("_anger") >= 3.0, "medium")
         .otherwise("low")
     )

@@ -382,7 +382,7 @@ def w07(r):
         SELECT doc_id, lang, original_id, copies FROM k JOIN g USING (lang, words) WHERE doc_id <> original_id""",
 )
 def q43(r):
-    return C.duplicate_requests(r.t["documents"], "doc_id", "text", ["lang"])
+    return C.duplicate_requests(r.docs, "doc_id", "text", ["lang"])
 
 
 @query(

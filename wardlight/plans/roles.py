@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.functions.columns import code, map_value, resolution_hours, time_of_day, year
-from wardlight.sources.tables import load_tables
+from wardlight.session import spread
+from wardlight.sources.tables import Tables
 
 REQ_AS_OF = "2001-08-02 00:00:00"
 INC_AS_OF = "2024-01-31 00:00:00"
@@ -55,6 +56,7 @@ CRIME_TYPES = [
 ]
 CAT_IDS = {name: cat_id for cat_id, name, *_ in CATEGORIES}
 DEPT_OF = {cat_id: dept for cat_id, _, dept, *_ in CATEGORIES}
+DEPT_IDS = {name: dept for _, name, dept, *_ in CATEGORIES}
 TYPE_IDS = {name: type_id for type_id, name, *_ in CRIME_TYPES}
 LINE_STATUS = {
     "AF": "resolved",
@@ -85,7 +87,7 @@ class Roles:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.path = sf_dir
-        self.t = load_tables(spark, sf_dir)
+        self.t = Tables(spark, sf_dir)
 
     def values(self, rows, columns: str) -> DataFrame:
         """A literal relation: Catalyst knows its exact size."""
@@ -143,6 +145,11 @@ class Roles:
             (key % 3 == 0).alias("opt_in"),
         )
 
+    @cached_property
+    def docs(self) -> DataFrame:
+        """Documents spread over all cores where the file has few splits."""
+        return spread(self.t["documents"])
+
     # -- requests -----------------------------------------------------------------
 
     def lines(self, category: bool = False, location: bool = False) -> DataFrame:
@@ -155,24 +162,23 @@ class Roles:
         df = self.t["lineitem"].join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         if category:
             df = df.join(self.t["part"].select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        status = map_value(F.concat("l_returnflag", "l_linestatus"), LINE_STATUS)
-        resolved = F.when(
-            status.isin("resolved", "closed") & (F.col("l_shipdate") > F.col("o_orderdate")), F.col("l_shipdate")
-        )
+        # Each derived column is a step of its own, so that it is computed once per row.
+        df = df.withColumn("status", map_value(F.concat("l_returnflag", "l_linestatus"), LINE_STATUS))
+        shipped_after = F.col("status").isin("resolved", "closed") & (F.col("l_shipdate") > F.col("o_orderdate"))
+        df = df.withColumn("resolved_at", F.when(shipped_after, F.col("l_shipdate")))
         columns = [
             F.col("o_custkey").alias("user_id"),
             F.least(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(4)).alias("priority_id"),
-            status.alias("status"),
+            "status",
             F.col("o_orderdate").alias("submitted_at"),
-            resolved.alias("resolved_at"),
-            resolution_hours("o_orderdate", resolved).alias("resolution_hours"),
+            "resolved_at",
+            resolution_hours("o_orderdate", "resolved_at").alias("resolution_hours"),
             F.lit(0).alias("is_hotspot_flag"),
         ]
         if location:
             columns.append(F.col("c_nationkey").alias("location_id"))
         if category:
-            cat_id = map_value("p_type", CAT_IDS)
-            columns += [cat_id.alias("cat_id"), map_value(cat_id, DEPT_OF).alias("dept_id")]
+            columns += [map_value("p_type", CAT_IDS).alias("cat_id"), map_value("p_type", DEPT_IDS).alias("dept_id")]
         return df.select(*columns)
 
     def requests(self, resolved: bool = True) -> DataFrame:
@@ -192,50 +198,56 @@ class Roles:
             )
             df = orders.join(ships, F.col("o_orderkey") == F.col("l_orderkey"), "left")
             first = F.array_min(F.filter("_ships", lambda d: d > F.col("o_orderdate")))
-            resolved_at = F.when(F.col("o_orderstatus") == "F", first)
+            df = df.withColumn("resolved_at", F.when(F.col("o_orderstatus") == "F", first))
         else:
-            df, resolved_at = orders, F.lit(None).cast("timestamp_ntz")
-        cat_id = map_value("c_mktsegment", CAT_IDS)
+            df = orders.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
         key, cust = F.col("o_orderkey"), F.col("o_custkey")
         return df.select(
             key.alias("request_id"),
             code("REQ", year("o_orderdate"), key).alias("code"),
             cust.alias("user_id"),
-            cat_id.alias("cat_id"),
+            map_value("c_mktsegment", CAT_IDS).alias("cat_id"),
             F.col("c_nationkey").alias("location_id"),
-            map_value(cat_id, DEPT_OF).alias("dept_id"),
+            map_value("c_mktsegment", DEPT_IDS).alias("dept_id"),
             F.least(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(4)).alias("priority_id"),
             F.concat(F.col("c_mktsegment"), F.lit(" request "), key.cast("string")).alias("title"),
             map_value("o_orderstatus", ORDER_STATUS).alias("status"),
             F.when(F.col("o_orderstatus") != "P", cust - cust % 50).alias("assigned_to"),
             F.col("o_orderdate").alias("submitted_at"),
             F.lit(None).cast("timestamp_ntz").alias("assigned_at"),
-            resolved_at.alias("resolved_at"),
-            resolution_hours("o_orderdate", resolved_at).alias("resolution_hours"),
+            "resolved_at",
+            resolution_hours("o_orderdate", "resolved_at").alias("resolution_hours"),
             F.lit(0).alias("is_hotspot_flag"),
         )
 
     # -- incidents ----------------------------------------------------------------
 
     def incidents(self, preset: str = "schema") -> DataFrame:
-        k = F.from_json("props", "k INT")["k"]
-        place = (F.col("user_id") % 25).cast("int")
-        hour = F.hour("ts")
-        return self.t["events"].select(
+        parsed = self.t["events"].select(
+            "event_id",
+            "user_id",
+            "event_type",
+            "ts",
+            F.from_json("props", "k INT")["k"].alias("k"),
+            (F.col("user_id") % 25).cast("int").alias("location_id"),
+            F.hour("ts").alias("incident_hour"),
+        )
+        place, k = F.col("location_id"), F.col("k")
+        return parsed.select(
             F.col("event_id").alias("incident_id"),
             code("CRM", F.lit(2024), "event_id").alias("incident_code"),
             "user_id",
             map_value("event_type", TYPE_IDS).alias("crime_type_id"),
-            place.alias("location_id"),
+            "location_id",
             F.col("ts").cast("date").alias("incident_date"),
-            hour.alias("incident_hour"),
-            time_of_day(hour, preset).alias("time_of_day"),
+            "incident_hour",
+            time_of_day("incident_hour", preset).alias("time_of_day"),
             (F.lit(18.40) + place * F.lit(0.01) + (k % 10) * F.lit(0.001)).alias("latitude"),
             (F.lit(73.70) + place * F.lit(0.01)).alias("longitude"),
             (k % 4).alias("victim_count"),
             map_value(k % 5, INCIDENT_STATUS).alias("status"),
             F.lit(0).alias("is_hotspot_flag"),
-            k.alias("k"),
+            "k",
             F.col("ts").alias("created_at"),
         )
 

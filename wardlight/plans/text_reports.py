@@ -45,7 +45,7 @@ SCORES = (
     f"WITH {SCORES} SELECT doc_id, label, hits, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM scores",
 )
 def t01(r):
-    out = X.category_scores(r.t["documents"], KEYWORDS)
+    out = X.category_scores(r.docs, KEYWORDS)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -61,7 +61,7 @@ def t01(r):
     ),
 )
 def t02(r):
-    return X.suggest_categories(r.t["documents"], r.cat, KEYWORDS, RULES)
+    return X.suggest_categories(r.docs, r.cat, KEYWORDS, RULES)
 
 
 _WORDS = [w for ws in URGENCY.values() for w in ws]
@@ -86,7 +86,7 @@ T03 = f"""SELECT doc_id, CAST({_ANGER} AS DOUBLE) AS anger, {_N} AS n, CASE WHEN
       CAST(round(least(0.99, 0.55 + least(1.0, n * 0.1) * 0.35), 2) AS DOUBLE) AS confidence FROM ({T03})""",
 )
 def t03(r):
-    out = X.score_urgency(r.t["documents"], URGENCY)
+    out = X.score_urgency(r.docs, URGENCY)
     return out.select(
         "doc_id",
         "anger_level",
@@ -110,7 +110,7 @@ _LEX = ", ".join(f"('{t}', CAST({v} AS DOUBLE))" for t, v in LEXICON)
 )
 def t04(r):
     lexicon = r.values(LEXICON, "token, value").withColumn("value", F.col("value").cast("double"))
-    return X.polarity(r.t["documents"].select("doc_id", "text"), lexicon).select("doc_id", "compound")
+    return X.polarity(r.docs.select("doc_id", "text"), lexicon).select("doc_id", "compound")
 
 
 @query(
@@ -121,7 +121,7 @@ def t04(r):
         {_hits([w for g in EMOTION.values() for w in g])} AS e FROM documents)""",
 )
 def t05(r):
-    out = X.score_urgency_v2(r.t["documents"], URGENCY, EMOTION, ["###"])
+    out = X.score_urgency_v2(r.docs, URGENCY, EMOTION, ["###"])
     return out.select("doc_id", "sentiment_score", "urgency_level", "emotional_intensity", "priority_recommendation")
 
 
@@ -145,4 +145,4 @@ def t07(r):
     def scorer(docs):
         return X.score_urgency(docs, URGENCY).select("_hash", "text", "anger_level", "urgency_level")
 
-    return X.score_distinct(r.t["documents"].select("doc_id", "text"), scorer)
+    return X.score_distinct(r.docs.select("doc_id", "text"), scorer)

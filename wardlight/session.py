@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "wardlight", master: str | None = None, **conf) -> SparkSession:
@@ -44,3 +44,24 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="wardlight-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a narrow intermediate table to the shared scratch folder and read it back.
+
+    For results that are costly to compute and read more than once. Unlike a cache the
+    table survives the loss of executors.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on a scan that has fewer splits than cores.
+
+    Only for plain scans: the split count is then known from the file listing. Tables of
+    many files come back unchanged, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

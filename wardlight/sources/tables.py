@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +14,33 @@ from wardlight.functions.columns import resolution_hours, time_of_day
 from wardlight.sources import schemas
 
 
-def load_tables(spark: SparkSession, path: str, names=None, catalog=None) -> dict[str, DataFrame]:
-    """Lazy readers for `<path>/<name>.parquet` with declared schemas."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    catalog = catalog or schemas.RAW
-    return {
-        name: spark.read.schema(catalog[name]).parquet(os.path.join(path, f"{name}.parquet"))
-        for name in (names or catalog)
-    }
+class Tables(Mapping):
+    """Readers for `<path>/<name>.parquet` with declared schemas, each opened on first use."""
+
+    def __init__(self, spark: SparkSession, path: str, names=None, catalog=None):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self.spark, self.path = spark, path
+        self.catalog = catalog or schemas.RAW
+        self.names = list(names or self.catalog)
+        self.opened: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self.opened:
+            reader = self.spark.read.schema(self.catalog[name])
+            self.opened[name] = reader.parquet(os.path.join(self.path, f"{name}.parquet"))
+        return self.opened[name]
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+def load_tables(spark: SparkSession, path: str, names=None, catalog=None) -> Tables:
+    return Tables(spark, path, names, catalog)
 
 
 def load_requests(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ Event-time columns must be TIMESTAMP, not TIMESTAMP_NTZ.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,23 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Start a query with at most two state partitions per core.
+
+    A stateful query keeps its partition count for life and AQE does not merge small
+    partitions for it, so the batch setting is often far too high. The session's own
+    value is put back at once; the started query works on its copy.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(8, 2 * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process all available input, write it append-only with exactly-once files, and read the table.
 
@@ -37,14 +55,9 @@ def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpo
     spark = stream.sparkSession
     path = path or scratch_dir(spark, label)
     checkpoint = checkpoint or scratch_dir(spark, f"{label}-checkpoint")
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    with state_partitions(spark):
+        query = writer.outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
