@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions.columns import col
+from wardlight.session import settle
 
 DONE = ("resolved", "closed")
 OPEN = ("pending", "assigned", "in_progress")
@@ -81,7 +82,7 @@ def group_mean(df: DataFrame, key: str, c: str, out: str) -> DataFrame:
     A window would bring a hot group's rows to one task; the aggregate is one row per key.
     """
     means = df.groupBy(key).agg(F.avg(F.col(c).cast("double")).alias(out))
-    return df.join(means, key, "left")
+    return df.join(settle(means, "group-means"), key, "left")
 
 
 def daily_counts(incidents: DataFrame) -> DataFrame:

@@ -47,20 +47,21 @@ BADGES = {
 
 def badges(r: DataFrame, usr: DataFrame, hunter_cat: int, quick_hours: float = 24) -> DataFrame:
     """Badges per user: first report, 5 of one category, 3 in the own ward, 5 fixed quickly,
-    10 in a month, 50 in all. Counts go to (user, month) first, then to the user."""
+    10 in a month, 50 in all. Requests are counted per (user, location, month) before the
+    users are joined, so a very active user meets the join as a few rows."""
     home = usr.select("user_id", F.col("location_id").alias("_home"))
-    local = F.col("location_id") == F.col("_home")
-    cells = (
-        r.join(home, "user_id")
-        .groupBy("user_id", F.trunc("submitted_at", "MM").alias("_m"))
-        .agg(
-            n_rows().alias("n"),
-            count_where(F.col("cat_id") == hunter_cat).alias("cat"),
-            count_where(local).alias("ward"),
-            count_where(is_done() & (F.col("resolution_hours") < quick_hours)).alias("quick"),
-        )
+    cells = r.groupBy("user_id", "location_id", F.trunc("submitted_at", "MM").alias("_m")).agg(
+        n_rows().alias("n"),
+        count_where(F.col("cat_id") == hunter_cat).alias("cat"),
+        count_where(is_done() & (F.col("resolution_hours") < quick_hours)).alias("quick"),
     )
-    per_user = cells.groupBy("user_id").agg(
+    local = F.when(F.col("location_id") == F.col("_home"), F.col("n")).otherwise(0)
+    months = (
+        cells.join(home, "user_id")
+        .groupBy("user_id", "_m")
+        .agg(F.sum("n").alias("n"), F.sum("cat").alias("cat"), F.sum(local).alias("ward"), F.sum("quick").alias("quick"))
+    )
+    per_user = months.groupBy("user_id").agg(
         F.sum("n").alias("total"),
         F.sum("cat").alias("in_category"),
         F.sum("ward").alias("in_ward"),

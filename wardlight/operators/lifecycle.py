@@ -10,6 +10,7 @@ from wardlight.functions.measures import DONE, n_rows
 from wardlight.operators.joins import age_hours
 from wardlight.operators.requests import STATUSES
 from wardlight.operators.windows import trailing_count
+from wardlight.session import settle
 from wardlight.sources.tables import RATING_REST, RATING_STEPS, by_hours, latest_per_key, split_rejects
 
 # Priority level of each urgency.
@@ -39,7 +40,7 @@ def assign_priority(r: DataFrame, cat: DataFrame, as_of=None, days: int = 30) ->
         start = ago(as_of, days, "DAY")
         recent = r.filter(F.col("submitted_at") >= start).groupBy(*keys).agg(n_rows().alias("_n"))
         own = (F.col("submitted_at") >= start).cast("long")
-        counted = r.join(recent, keys, "left").withColumn("frequency_30d", F.coalesce("_n", F.lit(0)) - own).drop("_n")
+        counted = r.join(settle(recent, "recent-twins"), keys, "left").withColumn("frequency_30d", F.coalesce("_n", F.lit(0)) - own).drop("_n")
     base = cat.select("cat_id", F.col("default_priority_id").alias("base_priority"))
     return counted.join(base, "cat_id").withColumn(
         "priority_id", frequency_priority(F.col("base_priority"), F.col("frequency_30d"))
@@ -87,6 +88,7 @@ def flag_hotspots(
     hot = r.filter(live).groupBy("location_id").agg(n_rows().alias("request_count")).filter(
         F.col("request_count") >= threshold
     )
+    hot = settle(hot, "hotspots")
     marked = r.join(hot.select("location_id", F.lit(1).alias("_hot")), "location_id", "left")
     flag = F.when(live & (F.col("_hot") == 1), 1).otherwise(F.col("is_hotspot_flag"))
     flagged = marked.withColumn("is_hotspot_flag", flag).drop("_hot")

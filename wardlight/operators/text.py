@@ -122,10 +122,11 @@ def label_categories(cat: DataFrame, labels: list[str], rules: dict[str, str] |
     base = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
     name = map_value("label", rules, "Other") if rules else normalize_label("label")
     active = cat.filter("is_active").select("cat_id", "cat_name", "icon_class")
+    own = F.struct("cat_id", "cat_name", "icon_class")
+    other = cat.filter("cat_name = 'Other'").agg(F.max(own)).scalar()
     found = base.withColumn("cat_name", name).join(active, "cat_name", "left")
-    other = cat.filter("cat_name = 'Other'").select("cat_id", "cat_name", "icon_class")
-    rest = found.filter("cat_id IS NULL").select("label", F.lit("Other").alias("cat_name")).join(other, "cat_name")
-    return found.filter("cat_id IS NOT NULL").unionByName(rest)
+    chosen = F.when(F.col("cat_id").isNotNull(), own).otherwise(other)
+    return found.select("label", chosen.alias("c")).filter("c IS NOT NULL").select("label", "c.*")
 
 
 def suggest_categories(

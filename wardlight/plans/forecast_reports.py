@@ -29,7 +29,7 @@ ETA_SQL = """cat_h AS (SELECT cat_id, avg(date_sub('hour', submitted_at, resolve
     ),
 )
 def m01(r):
-    req = r.requests()
+    req = r.stored_requests
     return M.predict_eta(req, req).select("request_id", "predicted_hours", "range_low", "range_high", "confidence")
 
 
@@ -67,7 +67,7 @@ def m03(r):
     ),
 )
 def m04(r):
-    out = M.history_features(r.requests(), REQ_AS_OF)
+    out = M.history_features(r.stored_requests, REQ_AS_OF)
     return out.select(
         "cat_id",
         "location_id",
@@ -82,7 +82,7 @@ def m04(r):
 
 @query("m04_train_best")
 def m04_best(r):
-    features = M.history_features(r.requests(), REQ_AS_OF)
+    features = M.history_features(r.stored_requests, REQ_AS_OF)
     model, name, mae = M.train_eta_best(features, trees=5)
     out = M.predict_range(model, features, mae).withColumn("model", F.lit(name))
     return out.groupBy("model", "priority_id").agg(
@@ -99,7 +99,7 @@ def m04_best(r):
     ),
 )
 def m05(r):
-    req = r.requests()
+    req = r.stored_requests
     report = M.eta_error_report(M.eta_error_log(M.predict_eta(req, req)), ("cat_id",))
     return report.select("cat_id", "n", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"))
 

@@ -367,7 +367,7 @@ def history(req):
     ),
 )
 def w07(r):
-    req = r.requests()
+    req = r.stored_requests
     return W.timeline(history(req), req)
 
 
@@ -536,7 +536,7 @@ def d07b(r):
     ),
 )
 def j11(r):
-    req = r.requests()
+    req = r.stored_requests
     docs = Q.request_documents(req, history(req), derive_feedback(req, FEEDBACK_LIMITS))
     entries = F.coalesce(F.transform("status_history", lambda h: h["new_status"]), F.array().cast("array<string>"))
     return docs.select(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.functions.columns import code, map_value, resolution_hours, time_of_day, year
-from wardlight.session import spread
+from wardlight.session import materialize, spread
 from wardlight.sources.tables import Tables
 
 REQ_AS_OF = "2001-08-02 00:00:00"
@@ -220,6 +220,11 @@ class Roles:
             F.lit(0).alias("is_hotspot_flag"),
         )
 
+    @cached_property
+    def stored_requests(self) -> DataFrame:
+        """`requests` as a written table, for queries that read it several times."""
+        return materialize(self.requests(), "requests")
+
     # -- incidents ----------------------------------------------------------------
 
     def incidents(self, preset: str = "schema") -> DataFrame:

@@ -57,6 +57,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(summary: DataFrame, label: str) -> DataFrame:
+    """Materialise an aggregate that is to be joined back to its fact.
+
+    Catalyst guesses an aggregate to be about as large as its input and would shuffle the
+    fact to join it. The written table has a known size: a small one is broadcast under
+    `autoBroadcastJoinThreshold`, a large one is sorted and merged.
+    """
+    return materialize(summary, label)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy work on a scan that has fewer splits than cores.
 
