@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.functions.columns import code, pct_change_of, seconds, year
+from wardlight.functions.columns import MICROS_PER, code, pct_change_of, seconds, year
 from wardlight.sources.tables import latest_per_key  # noqa: F401  (W02 lives with the keyed tables)
 
 
-DAY_S = 86_400
-
 
 def _chunk(ts: str, width_s: int) -> Column:
     return F.floor(seconds(ts) / width_s)
@@ -25,19 +23,35 @@ def _chunk(ts: str, width_s: int) -> Column:
 def trailing_count(df: DataFrame, keys: list[str], ts: str, days: int, out: str) -> DataFrame:
     """Rows of the same key in the closed interval [ts - days, ts], minus the row itself.
 
-    Rows are first counted per key and instant. Each count is then placed in its own chunk
-    of `days` length and, as history, in the next one; a range window inside (key, chunk)
-    therefore sees all it needs. No window group spans more than two chunks of instants.
+    Spark evaluates a sliding frame by adding up the whole frame for every row, which is
+    quadratic on a busy key. Here every instant adds its count when it comes and takes it
+    back `days` later, so a running sum gives the count in one pass. The time line is cut
+    into day chunks; a chunk starts from the totals of the `days` chunks before it, so no
+    window group holds more than a day of distinct instants and their take-backs.
     """
-    span = days * DAY_S
+    width = MICROS_PER["DAY"]
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     instants = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
-    placed = instants.withColumn("_own", _chunk(ts, span)).withColumn(
-        "_chunk", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
+    instants = instants.withColumn("_at", at).withColumn("_chunk", F.floor(F.col("_at") / width))
+
+    def event(chunk, when, kind, delta):
+        return F.struct(chunk.alias("_chunk"), when.alias("_at"), F.lit(kind).alias("_kind"), delta.alias("_delta"))
+
+    chunk, n = F.col("_chunk"), F.col("_n")
+    moves = F.array(event(chunk, F.col("_at"), 1, n), event(chunk + days, F.col("_at") + days * width, 2, -n))
+    steps = instants.select(*keys, ts, F.inline(moves))
+    totals = instants.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_total"))
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(days)))
+    carried = totals.select(*keys, "_chunk", "_total", ahead.alias("_j")).withColumn("_chunk", chunk + F.col("_j"))
+    opening = carried.groupBy(*keys, "_chunk").agg(F.sum("_total").alias("_delta"))
+    opening = opening.withColumns(
+        {ts: F.lit(None).cast(df.schema[ts].dataType), "_at": F.lit(-(2**62)), "_kind": F.lit(0)}
     )
-    w = W.partitionBy(*keys, "_chunk").orderBy(F.unix_micros(F.col(ts).cast("timestamp")))
+    w = W.partitionBy(*keys, "_chunk").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
     counted = (
-        placed.withColumn("_seen", F.sum("_n").over(w.rangeBetween(-span * 1_000_000, 0)))
-        .filter(F.col("_chunk") == F.col("_own"))
+        steps.unionByName(opening)
+        .withColumn("_seen", F.sum("_delta").over(w))
+        .filter(F.col("_kind") == 1)
         .select(*keys, ts, (F.col("_seen") - 1).alias(out))
     )
     return df.join(counted, [*keys, ts])
