@@ -20,6 +20,24 @@ def _chunk(ts: str, width_s: int) -> Column:
     return F.floor(seconds(ts) / width_s)
 
 
+def _opening_totals(instants: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Per (key, chunk) with rows: the sum over the `span` chunks before it, as `_delta`.
+
+    A chunk's total is added from the next chunk on and taken back `span` chunks later. The
+    window holds three rows per chunk of a key.
+    """
+    totals = instants.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_total"))
+    chunk, total = F.col("_chunk"), F.col("_total")
+
+    def move(at, ask, delta):
+        return F.struct(at.alias("_chunk"), F.lit(ask).alias("_ask"), delta.alias("_delta"))
+
+    moves = F.array(move(chunk + 1, 0, total), move(chunk + span + 1, 0, -total), move(chunk, 1, total * 0))
+    w = W.partitionBy(*keys).orderBy("_chunk", "_ask").rowsBetween(W.unboundedPreceding, 0)
+    summed = totals.select(*keys, F.inline(moves)).withColumn("_delta", F.sum("_delta").over(w))
+    return summed.filter("_ask = 1").drop("_ask")
+
+
 def trailing_count(df: DataFrame, keys: list[str], ts: str, days: int, out: str) -> DataFrame:
     """Rows of the same key in the closed interval [ts - days, ts], minus the row itself.
 
@@ -40,11 +58,7 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, days: int, out: str)
     chunk, n = F.col("_chunk"), F.col("_n")
     moves = F.array(event(chunk, F.col("_at"), 1, n), event(chunk + days, F.col("_at") + days * width, 2, -n))
     steps = instants.select(*keys, ts, F.inline(moves))
-    totals = instants.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_total"))
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(days)))
-    carried = totals.select(*keys, "_chunk", "_total", ahead.alias("_j")).withColumn("_chunk", chunk + F.col("_j"))
-    opening = carried.groupBy(*keys, "_chunk").agg(F.sum("_total").alias("_delta"))
-    opening = opening.withColumns(
+    opening = _opening_totals(instants, keys, days).withColumns(
         {ts: F.lit(None).cast(df.schema[ts].dataType), "_at": F.lit(-(2**62)), "_kind": F.lit(0)}
     )
     w = W.partitionBy(*keys, "_chunk").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
@@ -239,7 +253,7 @@ def sort_by(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 
 def sample_n(df: DataFrame, key: str, n: int) -> DataFrame:
     """A repeatable sample: the n rows with the smallest key hash."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
 
 
 # -- set operations ---------------------------------------------------------------

@@ -440,7 +440,7 @@ def k07(r):
     return W.sort_by(rows, [("c_nationkey", "desc"), ("c_acctbal", "asc"), ("c_custkey", "asc")]).limit(60)
 
 
-@query("k08_sample_n")
+@query("k08_sample_n", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 200")
 def k08(r):
     return W.sample_n(r.t["orders"].select("o_orderkey", "o_orderstatus"), "o_orderkey", 200)
 

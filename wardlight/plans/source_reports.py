@@ -7,6 +7,8 @@ from pyspark.sql import types as T
 
 from wardlight.functions import columns as X
 from wardlight.operators import requests as Q
+from wardlight.operators.intake import submit_requests
+from wardlight.plans.forecast_reports import ETA_SQL
 from wardlight.plans.lifecycle_reports import HISTORY
 from wardlight.plans.registry import query
 from wardlight.plans.request_reports import DETAIL, FEEDBACK_LIMITS
@@ -263,3 +265,36 @@ def r01(r):
         risk_level(CAST(k AS DOUBLE)) AS risk, frequency_priority(3, k) AS prio,
         safety_score(victim_count, victim_count, k) AS score FROM wardlight_incidents"""
     )
+
+
+# Urgency words that occur in the role data.
+INTAKE_WORDS = {"critical": ["machin"], "high": ["build"], "medium": ["furn"]}
+
+
+@query(
+    "s05_submit_requests",
+    with_views(
+        "cat req",
+        f"""WITH {RAW_REQ}, {ETA_SQL.split("p AS (SELECT")[0].rstrip().rstrip(",")},
+        twins AS (SELECT cat_id, location_id, count(*) AS n FROM req WHERE submitted_at >= {{R_NOW}} - INTERVAL 30 DAY GROUP BY ALL),
+        s AS (SELECT r.user_id, c.cat_id, c.dept_id, r.location_id, c.default_priority_id AS base, coalesce(t.n, 0) AS frequency_30d,
+          CASE WHEN description = 'MACHINERY' THEN 'critical' WHEN description = 'BUILDING' THEN 'high' ELSE 'low' END AS urgency_level,
+          (coalesce(nullif(ch.h, 0), 24) * CAST(0.6 AS DOUBLE) + coalesce(nullif(lh.h, 0), 30) * CAST(0.4 AS DOUBLE))
+          * CAST(CASE c.default_priority_id WHEN 1 THEN 0.45 WHEN 2 THEN 0.7 WHEN 3 THEN 1.0 ELSE 1.25 END AS DOUBLE)
+          + least(18.0, coalesce(d.n, 0) * CAST(0.35 AS DOUBLE)) AS v
+          FROM raw r JOIN cat c ON try_cast(r.cat_id AS INTEGER) = c.cat_id LEFT JOIN twins t ON t.cat_id = c.cat_id AND t.location_id = r.location_id
+          LEFT JOIN cat_h ch ON ch.cat_id = c.cat_id LEFT JOIN loc_h lh ON lh.location_id = r.location_id LEFT JOIN load d ON d.dept_id = c.dept_id
+          WHERE description IS NOT NULL),
+        f AS (SELECT *, CASE WHEN frequency_30d >= 10 THEN 1 WHEN frequency_30d >= 5 THEN greatest(1, base - 1)
+          WHEN frequency_30d >= 2 THEN base ELSE least(4, base + 1) END AS fp FROM s)
+        SELECT user_id, cat_id, dept_id, frequency_30d, urgency_level,
+          CASE urgency_level WHEN 'critical' THEN 1 WHEN 'high' THEN least(fp, 2) ELSE fp END AS priority_id,
+          CASE WHEN urgency_level IN ('critical','high') THEN 1 ELSE 0 END AS auto_priority_boosted,
+          round(greatest(2.0, v), 1) AS predicted_hours FROM f""",
+    ),
+)
+def s05_submit(r):
+    out, _ = submit_requests(_raw_requests(r), r.cat, r.stored_requests, REQ_AS_OF, INTAKE_WORDS)
+    return out.select(
+        "user_id", "cat_id", "dept_id", "frequency_30d", "urgency_level", "priority_id", "auto_priority_boosted", "predicted_hours"
+    )
