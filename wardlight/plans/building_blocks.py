@@ -427,8 +427,8 @@ def k05b(r):
 
 @query(
     "k06_top_k_per",
-    """SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events
-      QUALIFY rn <= 3""",
+    """SELECT user_id, event_id, value, CAST(rn AS INTEGER) AS rn FROM (SELECT *,
+      row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 3""",
 )
 def k06(r):
     return W.top_k_per(r.t["events"].select("user_id", "event_id", "value"), ["user_id"], [F.col("value").desc(), F.col("event_id")], 3)

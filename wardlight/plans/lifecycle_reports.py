@@ -327,7 +327,7 @@ def w05(r):
 
 @query(
     "w06_ranked",
-    """SELECT c_nationkey, c_custkey, n, rank() OVER (PARTITION BY c_nationkey ORDER BY n DESC) AS rank
+    """SELECT c_nationkey, c_custkey, n, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY n DESC) AS INTEGER) AS rank
       FROM (SELECT c_nationkey, c_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
       QUALIFY rank() OVER (PARTITION BY c_nationkey ORDER BY n DESC) <= 5""",
 )
@@ -407,7 +407,7 @@ def q44(r):
     with_views(
         "req usr",
         """SELECT u.user_id, u.location_id, split_part(full_name, ' ', 1) AS first_name, reports, last_report,
-        rank() OVER (PARTITION BY u.location_id ORDER BY reports DESC) AS rank
+        CAST(rank() OVER (PARTITION BY u.location_id ORDER BY reports DESC) AS INTEGER) AS rank
         FROM (SELECT user_id, count(*) AS reports, max(submitted_at) AS last_report FROM req
           WHERE submitted_at >= TIMESTAMP '2001-07-01' AND submitted_at < TIMESTAMP '2001-08-01' GROUP BY 1) c
         JOIN usr u ON c.user_id = u.user_id WHERE opt_in
@@ -531,7 +531,7 @@ def d07b(r):
     with_views(
         "req fb",
         f"""WITH {HISTORY}, agg AS (SELECT request_id, string_agg(new_status, '>' ORDER BY updated_at) AS steps, count(*) AS n FROM hist GROUP BY 1)
-        SELECT r.request_id, 0 AS history_page, coalesce(n, 0) AS n_history, coalesce(steps, '') AS steps, f.rating
+        SELECT r.request_id, CAST(0 AS BIGINT) AS history_page, coalesce(n, 0) AS n_history, coalesce(steps, '') AS steps, f.rating
         FROM req r LEFT JOIN agg a ON r.request_id = a.request_id LEFT JOIN fb f ON r.request_id = f.request_id""",
     ),
 )
