@@ -223,10 +223,12 @@ def polarity(docs: DataFrame, lexicon: DataFrame, id_col="doc_id", text="text",
 
     Tokens meet the lexicon inside the scan's stage while the lexicon is small enough for
     Catalyst to broadcast it; only per-document partial sums are shuffled. Documents
-    without a known word score 0.
+    without a known word score 0. Word values are summed as decimals, so the result does not
+    depend on the order in which partial sums meet.
     """
     tokens = docs.select(id_col, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}']+")).alias("token"))
-    summed = tokens.join(lexicon.select("token", "value"), "token").groupBy(id_col).agg(F.sum("value").alias("_x"))
+    values = lexicon.select("token", F.col("value").cast("decimal(10,4)").alias("value"))
+    summed = tokens.join(values, "token").groupBy(id_col).agg(F.sum("value").alias("_x"))
     x = F.coalesce(F.col("_x").cast("double"), F.lit(0.0))
     return docs.join(summed, id_col, "left").withColumn("compound", F.round(x / F.sqrt(x * x + alpha), 4)).drop("_x")
 

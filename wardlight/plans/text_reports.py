@@ -98,7 +98,7 @@ def t03(r):
     )
 
 
-_LEX = ", ".join(f"('{t}', CAST({v} AS DOUBLE))" for t, v in LEXICON)
+_LEX = ", ".join(f"('{t}', CAST({v} AS DECIMAL(10,4)))" for t, v in LEXICON)
 
 
 @query(
@@ -106,7 +106,7 @@ _LEX = ", ".join(f"('{t}', CAST({v} AS DOUBLE))" for t, v in LEXICON)
     f"""WITH lex AS (SELECT * FROM (VALUES {_LEX}) v(token, value)),
       tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}'']+')) AS token FROM documents),
       s AS (SELECT doc_id, sum(value) AS x FROM tok JOIN lex USING (token) GROUP BY 1)
-      SELECT d.doc_id, round(coalesce(x, 0) / sqrt(coalesce(x, 0) ** 2 + 15), 4) AS compound FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""",
+      SELECT d.doc_id, round(coalesce(x, 0)::DOUBLE / sqrt(coalesce(x, 0)::DOUBLE ** 2 + 15), 4) AS compound FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""",
 )
 def t04(r):
     lexicon = r.values(LEXICON, "token, value").withColumn("value", F.col("value").cast("double"))
