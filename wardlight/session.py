@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +31,24 @@ def build_session(app: str = "wardlight", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+@cache
+def _local_root(app_id: str) -> str:
+    """One temporary folder per local application."""
+    return tempfile.mkdtemp(prefix="wardlight-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 
     It lies in the shared folder named by `spark.checkpoint.dir`. Only a local-mode
     session that names none gets a temporary folder on this machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="wardlight-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex[:12]}")
+        root = _local_root(spark.sparkContext.applicationId)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
