@@ -39,7 +39,7 @@ PIECE_CHARS = 65_536
 #: A word of more bytes is encoded in halves.
 LEAF_BYTES = 1_024
 #: Words of at most so many characters are kept, at most so many of them in a worker.
-KEPT_CHARS, KEPT_WORDS = 40, 400_000
+KEPT_CHARS, KEPT_WORDS = 40, 600_000
 
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 #: Characters whose class is the same in every Unicode version; others go to the library.
@@ -70,6 +70,19 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Kept(dict):
+    """Made values by key, as many as fit; what does not fit is made again."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= KEPT_CHARS and len(self) < KEPT_WORDS:
+            self[key] = value
+        return value
+
+
 class Codec:
     """Encoder and decoder for one tokenizer file."""
 
@@ -79,6 +92,7 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.tok = Tokenizer.from_file(path)
+        self.tokenize = self.tok.model.tokenize
         self.tok.no_truncation()
         self.tok.no_padding()
         split = config.get("pre_tokenizer") or {}
@@ -91,11 +105,11 @@ class Codec:
             and not any(t.get(k) for t in config.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized"))
             and not any(c.isspace() for t in self.specials for c in t)
         )
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words = _Kept(lambda word: self._ids(word.encode()))
+        self.chunks = _Kept(self._spaced)
         if self.byte_level:
             alphabet = _byte_alphabet()
-            self.stand_in = sorted(alphabet, key=alphabet.get)
+            self.stand_in = {b: c for c, b in alphabet.items() if ord(c) != b}
             self.pieces: list[bytes] = [b""] * self.tok.get_vocab_size(with_added_tokens=True)
             for word, i in self.tok.get_vocab(with_added_tokens=True).items():
                 plain = word not in self.specials and all(c in alphabet for c in word)
@@ -110,7 +124,7 @@ class Codec:
     # -- one word ------------------------------------------------------------------------
 
     def _leaf(self, word: bytes) -> list[int]:
-        return [t.id for t in self.tok.model.tokenize("".join(map(self.stand_in.__getitem__, word)))]
+        return [t.id for t in self.tokenize(word.decode("latin-1").translate(self.stand_in))]
 
     def _word(self, word: bytes) -> list[int]:
         if len(word) <= LEAF_BYTES:
@@ -148,30 +162,21 @@ class Codec:
         if self._special(text):
             return self._around_specials(text)
         if (not text.isascii() and _OTHER.search(text)) or any(p in text for p in _SPACE_PAIRS):
-            return b"".join(map(self._known, self._split(text)))
+            return b"".join(map(self.words.__getitem__, self._split(text)))
         first, *rest = text.split(" ")  # each space follows a visible character: all are sure cuts
-        known = self.chunks
-        try:
-            return self._chunk(first) + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            return self._chunk(first) + b"".join([known.get(c) or self._spaced(c) for c in rest])
+        return self._chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
 
     def _spaced(self, chunk: str) -> bytes:
-        ids = self._chunk(" " + chunk)
-        if len(chunk) < KEPT_CHARS and len(self.chunks) < KEPT_WORDS:
-            self.chunks[chunk] = ids
-        return ids
+        """Ids of a chunk behind a space; letters alone are one word."""
+        if chunk.isalpha():
+            return self._ids(b" " + chunk.encode())
+        return self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._known, _WORDS.findall(chunk)))
-
-    def _known(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = array("I", self._word(word.encode())).tobytes()
-            if len(word) <= KEPT_CHARS and len(self.words) < KEPT_WORDS:
-                self.words[word] = ids
-        return ids
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(chunk)))
+
+    def _ids(self, word: bytes) -> bytes:
+        return array("I", self._word(word)).tobytes()
 
     def _around_specials(self, text: str) -> bytes:
         out, at = [], 0
