@@ -36,9 +36,9 @@ from wardlight.llm.common import doc_key, materialize, short_lived_shuffles
 
 LENGTH, Q, RUN = 400, 24, 128
 #: Positions of one text handled at a time, and identifiers of one shuffle task.
-STRIP, TASK_KEYS = 1 << 21, 2_000_000
+STRIP, TASK_KEYS = 1 << 21, 1_500_000
 #: Identifiers a task holds before it sums them up and sends them.
-HELD_KEYS = 1_500_000
+HELD_KEYS = 600_000
 
 _SEED = np.random.default_rng(11).integers(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -117,6 +117,7 @@ def string_buckets(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -
 # -- buckets over the corpus ----------------------------------------------------------------
 
 _SENT = "task int, keys binary, marked binary, docs binary, places binary"
+_BACK = "task int, docs binary, places binary, leads binary"
 _KEYED = "did long, keys binary, places binary"
 
 
@@ -129,13 +130,15 @@ def _keyed(dids, found):
 
 
 def repeated(keys: DataFrame, expected: int) -> DataFrame:
-    """did, places, firsts (arrays of binary, uint32) of identifiers that occur twice or more.
+    """did, places, firsts (binary, uint32) of identifiers that occur twice or more, by document.
 
     `firsts` has the one place of each such identifier that stands for it. `keys` has rows of
-    `_KEYED`; `expected` is about the number of identifiers and sets the number of tasks.
+    `_KEYED`; `expected` is about the number of identifiers and sets the number of tasks. Both
+    ways of the exchange carry one packed row per pair of tasks, not one per document.
     """
     tasks = int(max(1, -(-expected // TASK_KEYS)))
     sent = pa.schema([("task", pa.int32()), *((c.split()[0], pa.binary()) for c in _SENT.split(", ")[1:])])
+    back = pa.schema([("task", pa.int32()), *((c.split()[0], pa.binary()) for c in _BACK.split(", ")[1:])])
     out = pa.schema([("did", pa.int64()), ("places", pa.binary()), ("firsts", pa.binary())])
 
     def pack(key, did, place):
@@ -189,9 +192,23 @@ def repeated(keys: DataFrame, expected: int) -> DataFrame:
         lead = np.concatenate([new[twice], *(np.zeros(len(x[2]) - len(x[0]), bool) for x in parts)])
         did = np.concatenate([did[hit], *(x[2][len(x[0]) :] for x in parts)])
         place = np.concatenate([place[hit], *(x[3][len(x[0]) :] for x in parts)])
+        task = ((did.view(np.uint64) * _M1) >> np.uint64(33)) % np.uint64(tasks)
+        order = np.argsort(task, kind="stable")
+        begin = np.searchsorted(task[order], np.arange(tasks + 1, dtype=np.uint64))
+        rows = [(t, *(x[order[begin[t] : begin[t + 1]]].tobytes() for x in (did, place, lead))) for t in np.flatnonzero(np.diff(begin)).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(back)], schema=back)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for d, p, f in zip(*(batch.column(c).to_pylist() for c in ("docs", "places", "leads"))):
+                parts.append((np.frombuffer(d, np.int64), np.frombuffer(p, np.uint32), np.frombuffer(f, bool)))
+        if not parts:
+            return
+        did, place, lead = map(np.concatenate, zip(*parts))
         order = np.argsort(did, kind="stable")
         did, place, lead = did[order], place[order], lead[order]
-        begin = np.flatnonzero(np.concatenate([[True], did[1:] != did[:-1]])) if len(did) else np.zeros(0, int)
+        begin = np.flatnonzero(np.concatenate([[True], did[1:] != did[:-1]]))
         ends = [*begin[1:].tolist(), len(did)]
         for i in range(0, len(begin), 10_000):
             spans = list(zip(begin[i : i + 10_000].tolist(), ends[i : i + 10_000]))
@@ -204,15 +221,13 @@ def repeated(keys: DataFrame, expected: int) -> DataFrame:
                 schema=out,
             )
 
-    dealt = keys.mapInArrow(send, _SENT).repartitionById(tasks, F.col("task"))
+    met = keys.mapInArrow(send, _SENT).repartitionById(tasks, F.col("task")).mapInArrow(meet, _BACK)
     with short_lived_shuffles(keys.sparkSession):
-        found = materialize(dealt.mapInArrow(meet, "did long, places binary, firsts binary"), "buckets")
-    # At most the positions of one document come together here.
-    return found.groupBy("did").agg(F.collect_list("places").alias("places"), F.collect_list("firsts").alias("firsts"))
+        return materialize(met.repartitionById(tasks, F.col("task")).mapInArrow(gather, "did long, places binary, firsts binary"), "buckets")
 
 
-def _numbers(lists) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists]).astype(np.int64)) if lists else np.zeros(0, np.int64)
+def _numbers(places: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(places or b"", np.uint32).astype(np.int64))
 
 
 def _spans(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int]]:
