@@ -141,7 +141,8 @@ def read_tokens(spark: SparkSession, out: str, doc_ids: list[int] | None = None)
     blocks = spark.read.schema(_BLOCK).parquet(f"{out}/blocks")
     if doc_ids is not None:
         wanted = F.array(*map(F.lit, sorted(doc_ids)))
-        blocks = blocks.filter(F.exists(wanted, lambda d: d.between(F.col("first_doc"), F.col("last_doc"))))
+        first = F.coalesce("first_doc", F.lit(-(1 << 63)))  # null ids stand first
+        blocks = blocks.filter(F.exists(wanted, lambda d: d.between(first, F.col("last_doc"))))
     starts = spark.read.schema("part int, part_start long").parquet(f"{out}/parts")
     dictionary, sha = spark.read.parquet(f"{out}/dictionary").first()
     dictionary = bytes(dictionary)
