@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import notify as N
 from wardlight.operators import windows as W
-from wardlight.operators.requests import request_documents
+from wardlight.operators.requests import documents_of, request_documents, request_history
 
 
 @pytest.fixture(scope="module")
@@ -89,17 +89,18 @@ def test_cap_frequency_keeps_every_row(rows):
     assert max(sent.values()) == 2
 
 
-def test_long_history_is_paged_not_cut(rows):
+def test_long_history_has_one_grain(rows):
     su = rows.select(F.col("key").cast("bigint").alias("request_id"), F.col("id").alias("update_id"), F.lit("x").alias("old_status"),
                      F.col("status").alias("new_status"), F.lit("").alias("remarks"), F.lit(1).alias("updated_by"), F.col("at").alias("updated_at"))
     r = su.select("request_id").distinct()
     fb = su.select("request_id", F.lit(3).alias("rating"), F.lit("").alias("comment"), F.lit(1).alias("is_satisfied")).dropDuplicates(["request_id"])
-    docs = request_documents(r, su, fb, page_size=100)
-    sizes = [(x.request_id, x.history_page, x.n) for x in docs.select("request_id", "history_page", F.size("status_history").alias("n")).collect()]
-    assert sum(n for _, _, n in sizes) == 3000
-    assert max(n for _, _, n in sizes) == 100
-    hot = docs.filter("request_id = 0").orderBy("history_page").select("status_history.pos").collect()
-    assert [p for page in hot for p in page[0]] == list(range(1, 1001))
+    assert request_documents(r, fb).count() == r.count()
+    history = request_history(su)
+    assert history.count() == 3000
+    hot = history.filter("request_id = 0").orderBy("position").select("position").collect()
+    assert [x.position for x in hot] == list(range(1, 1001))
+    nested = documents_of(r, su, fb, [0]).collect()
+    assert len(nested) == 1 and [e.position for e in nested[0].status_history] == list(range(1, 1001))
 
 
 def test_no_single_group_window_over_a_fact(rows):

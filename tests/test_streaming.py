@@ -128,11 +128,10 @@ def test_last_write_wins(spark):
 
 
 def test_state_partitions_put_back(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "5000")
-    with X.state_partitions(spark):
-        assert int(spark.conf.get("spark.sql.shuffle.partitions")) <= 2 * spark.sparkContext.defaultParallelism
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "5000"
-    spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    with X.state_partitions(spark, 33):
+        assert spark.conf.get(name) == "33"
+    assert spark.conf.get(name) == before
+    with X.state_partitions(spark, None):
+        assert spark.conf.get(name) == before

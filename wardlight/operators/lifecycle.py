@@ -31,7 +31,8 @@ def assign_priority(r: DataFrame, cat: DataFrame, as_of=None, days: int = 30) ->
     """Priority from the category default and the number of twins (same category and location).
 
     Without `as_of` a request's twins are those of the 30 days up to its own submission;
-    with it, those of the 30 days before `as_of`, the request itself left out.
+    with it, those of the 30 days before `as_of`, the request itself left out. A request of
+    an unknown category stays, without a priority.
     """
     keys = ["cat_id", "location_id"]
     if as_of is None:
@@ -42,9 +43,8 @@ def assign_priority(r: DataFrame, cat: DataFrame, as_of=None, days: int = 30) ->
         own = (F.col("submitted_at") >= start).cast("long")
         counted = r.join(settle(recent, "recent-twins"), keys, "left").withColumn("frequency_30d", F.coalesce("_n", F.lit(0)) - own).drop("_n")
     base = cat.select("cat_id", F.col("default_priority_id").alias("base_priority"))
-    return counted.join(base, "cat_id").withColumn(
-        "priority_id", frequency_priority(F.col("base_priority"), F.col("frequency_30d"))
-    )
+    ranked = frequency_priority(F.col("base_priority"), F.col("frequency_30d"))
+    return counted.join(base, "cat_id", "left").withColumn("priority_id", F.when(F.col("base_priority").isNotNull(), ranked))
 
 
 def boost_priority(r: DataFrame) -> DataFrame:
@@ -120,10 +120,15 @@ def apply_status_events(r: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
 
     The newest valid event sets the status; resolved, closed and assigned events also set
     their time, and assigned ones the officer (the acting user by default). Each request's
-    events become one row by combinable aggregates. Returns (requests, rejected events).
+    events become one row by combinable aggregates. Returns (requests, rejected events);
+    events of requests that do not exist are rejected, too.
     """
     reason = F.when(~F.col("new_status").isin(*STATUSES) | F.col("new_status").isNull(), "invalid status")
-    valid, rejected = split_rejects(events, reason)
+    named, rejected = split_rejects(events, reason)
+    known = r.select("request_id")
+    valid = named.join(known, "request_id", "left_semi")
+    unknown = named.join(known, "request_id", "left_anti").withColumn("reject_reason", F.lit("unknown request"))
+    rejected = rejected.unionByName(unknown.select(*rejected.columns))
     order = F.struct("event_at", "event_id")
     status = F.col("new_status")
 

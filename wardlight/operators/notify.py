@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wardlight.functions.columns import as_of_ts, fill_template, map_value
 from wardlight.functions.measures import n_rows
 from wardlight.operators.joins import with_actor_names
-from wardlight.operators.windows import flag_first
+from wardlight.operators.windows import flag_first, join_null_safe
 from wardlight.sources.tables import insert_ignore, latest_per_key
 
 # Template per new status; a submission gives `complaint_received`.
@@ -198,18 +198,26 @@ def apply_outcomes(q: DataFrame, results: DataFrame, now) -> tuple[DataFrame, Da
     """Fold delivery results into the queue and give the delivery log.
 
     Sent rows are done; failed ones go back to the queue until `attempts + 1` reaches the
-    limit. Results have one row per queue id.
+    limit. Results have one row per queue id; rows without a result stay as they are. Errors
+    are kept whole.
     """
     moment = as_of_ts(now)
-    joined = q.join(results.select("queue_id", "ok", "error"), "queue_id")
+    given = results.select("queue_id", "ok", "error", F.lit(True).alias("_tried"))
+    every = q.join(given, "queue_id", "left")
+    joined = every.filter("_tried")
     last_try = (F.coalesce("attempts", F.lit(0)) + 1) >= F.coalesce("max_attempts", F.lit(MAX_ATTEMPTS))
-    error = F.substring(F.coalesce(F.nullif("error", F.lit("")), F.lit("send_failed")), 1, 480)
-    state = joined.withColumns(
+    error = F.coalesce(F.nullif("error", F.lit("")), F.lit("send_failed"))
+    tried = F.col("_tried").isNotNull()
+
+    def new(column, value):
+        return F.when(tried, value).otherwise(F.col(column) if column in q.columns else F.lit(None))
+
+    state = every.withColumns(
         {
-            "status": F.when(F.col("ok"), "sent").when(last_try, "failed").otherwise("queued"),
-            "attempts": F.coalesce("attempts", F.lit(0)) + 1,
-            "sent_at": F.when(F.col("ok"), moment),
-            "last_error": F.when(~F.col("ok"), error),
+            "status": new("status", F.when(F.col("ok"), "sent").when(last_try, "failed").otherwise("queued")),
+            "attempts": new("attempts", F.coalesce("attempts", F.lit(0)) + 1),
+            "sent_at": new("sent_at", F.when(F.col("ok"), moment)),
+            "last_error": new("last_error", F.when(~F.col("ok"), error)),
         }
     )
     quoted = F.concat(F.lit('{"error":"'), F.replace("error", F.lit('"'), F.lit("'")), F.lit('"}'))
@@ -222,12 +230,12 @@ def apply_outcomes(q: DataFrame, results: DataFrame, now) -> tuple[DataFrame, Da
         moment.alias("event_at"),
         F.when(~F.col("ok"), quoted).alias("metadata_json"),
     )
-    return state.drop("ok", "error"), log
+    return state.drop("ok", "error", "_tried"), log
 
 
 def cap_frequency(n: DataFrame, per_day: int = 2, digest_hour: int = 8, id_col: str = "queue_id") -> DataFrame:
     """At most `per_day` non-critical notifications per user and day; the others go to the
-    next digest. Critical ones are exempt.
+    next digest. Critical ones are exempt; those without a time go out at once, unscheduled.
 
     The cut-off of a user's day is its per_day-th notification. Finding it keeps at most
     `per_day` rows per group from each partition, and rows are then compared with it, so a
@@ -235,11 +243,13 @@ def cap_frequency(n: DataFrame, per_day: int = 2, digest_hour: int = 8, id_col:
     """
     day = F.to_date("scheduled_at")
     order = F.struct("scheduled_at", id_col)
-    plain = n.filter(F.col("priority") != "critical").withColumn("_day", day)
+    critical = F.col("priority").eqNullSafe("critical")
+    plain = n.filter(~critical).withColumn("_day", day)
     w = W.partitionBy("user_id", "_day").orderBy("scheduled_at", id_col)
     firsts = plain.select("user_id", "_day", "scheduled_at", id_col, F.row_number().over(w).alias("_rn"))
     cut = firsts.filter(F.col("_rn") <= per_day).groupBy("user_id", "_day").agg(F.max(order).alias("_cut"))
-    kept = plain.join(cut, ["user_id", "_day"]).withColumn("_late", order > F.col("_cut"))
+    timed = F.col("scheduled_at").isNotNull()
+    kept = join_null_safe(plain, cut, ["user_id", "_day"]).withColumn("_late", timed & (order > F.col("_cut")))
     digest_at = F.date_add("_day", 1).cast("timestamp_ntz") + F.expr(f"INTERVAL {digest_hour} HOUR")
     capped = kept.withColumns(
         {
@@ -247,7 +257,7 @@ def cap_frequency(n: DataFrame, per_day: int = 2, digest_hour: int = 8, id_col:
             "send_at": F.when(F.col("_late"), digest_at).otherwise(F.col("scheduled_at")),
         }
     ).drop("_day", "_cut", "_late")
-    exempt = n.filter(F.col("priority") == "critical").withColumns(
+    exempt = n.filter(critical).withColumns(
         {"delivery": F.lit("immediate"), "send_at": F.col("scheduled_at")}
     )
     return capped.unionByName(exempt)
@@ -263,13 +273,16 @@ CHANNELS = {
 
 
 def choose_channels(n: DataFrame, disabled: DataFrame, level: str = "level") -> DataFrame:
-    """One row per notification and channel of its priority, without channels the user turned off."""
+    """One row per notification and channel of its priority, without channels the user turned off.
+
+    An unknown or missing priority is sent like a low one.
+    """
     choice = None
     for name, channels in CHANNELS.items():
         arr = F.array(*[F.lit(c) for c in channels])
         cond = F.col(level) == name
         choice = F.when(cond, arr) if choice is None else choice.when(cond, arr)
-    rows = n.withColumn("channel", F.explode(choice))
+    rows = n.withColumn("channel", F.explode(choice.otherwise(F.array(*[F.lit(c) for c in CHANNELS["low"]]))))
     return rows.join(disabled.select("user_id", "channel"), ["user_id", "channel"], "left_anti")
 
 

@@ -340,15 +340,19 @@ def monthly_view(r: DataFrame) -> DataFrame:
     return _by_month(r, aggs).drop("month_label").orderBy("month")
 
 
-def request_page(r, usr, cat, loc, dept, pri, as_of, page_no: int = 1, limit: int = 20, **filters) -> DataFrame:
+def request_page(
+    r, usr, cat, loc, dept, pri, as_of, page_no: int = 1, limit: int = 20, complete=None, **filters
+) -> DataFrame:
     """One page, newest first, with the filtered total and page count on each row.
 
     The page is cut from the fact before any dimension is joined, so only `limit` rows meet
-    the dimensions. Requests always have their dimension rows (D02 checks it).
+    the dimensions. Requests always have their dimension rows (D02 checks it). `complete`
+    adds what is costly to derive to the rows of the page only.
     """
     chosen = filter_requests(r, **filters)
     total = chosen.agg(n_rows().alias("total"))
     rows = page(chosen, [F.col("submitted_at").desc(), F.col("request_id")], page_no, limit)
+    rows = complete(rows) if complete else rows
     out = request_detail(rows, usr, cat, loc, dept, pri, as_of)
     return (
         out.withColumn("total", total.scalar())
@@ -476,19 +480,21 @@ def wow_trend(r: DataFrame, as_of, weeks: int = 8) -> DataFrame:
 # -- one-to-many assembly ---------------------------------------------------------
 
 
-def request_documents(r: DataFrame, su: DataFrame, fb: DataFrame, page_size: int = 1000) -> DataFrame:
-    """A request with its ordered history and its feedback as nested columns.
-
-    History is cut into pages of `page_size` rows. A request up to that size gives one
-    document; a longer one gives several, numbered by `history_page`, and loses nothing.
-    """
-    placed = ordered_position(su, ["request_id"], "updated_at", "update_id", "_pos")
-    entry = F.struct(F.col("_pos").alias("pos"), "old_status", "new_status", "remarks", "updated_by", "updated_at")
-    pages = (
-        placed.withColumn("history_page", F.floor((F.col("_pos") - 1) / page_size))
-        .groupBy("request_id", "history_page")
-        .agg(F.sort_array(F.collect_list(entry)).alias("status_history"))
-    )
+def request_documents(r: DataFrame, fb: DataFrame) -> DataFrame:
+    """One row per request with its feedback as a nested column; `request_history` has its history."""
     feedback = fb.select("request_id", F.struct("rating", "comment", "is_satisfied").alias("feedback"))
-    out = r.join(feedback, "request_id", "left").join(pages, "request_id", "left")
-    return out.withColumn("history_page", F.coalesce("history_page", F.lit(0)))
+    return r.join(feedback, "request_id", "left")
+
+
+def request_history(su: DataFrame) -> DataFrame:
+    """The history of every request, one row per change, keyed by (request_id, position)."""
+    placed = ordered_position(su, ["request_id"], "updated_at", "update_id", "position")
+    return placed.select("request_id", "position", "old_status", "new_status", "remarks", "updated_by", "updated_at")
+
+
+def documents_of(r: DataFrame, su: DataFrame, fb: DataFrame, request_ids: list[int]) -> DataFrame:
+    """Some named requests with feedback and whole history nested into one row each."""
+    named = F.col("request_id").isin(request_ids)
+    entry = F.struct("position", "old_status", "new_status", "remarks", "updated_by", "updated_at")
+    history = request_history(su.filter(named)).groupBy("request_id").agg(F.sort_array(F.collect_list(entry)).alias("status_history"))
+    return request_documents(r.filter(named), fb).join(history, "request_id", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.columns import clamp, count_char, has_text, map_value
 from wardlight.operators.lifecycle import URGENCY_PRIORITY
+from wardlight.operators.windows import join_null_safe
 
 # Category labels and the words that point to each.
 CATEGORY_KEYWORDS = {
@@ -123,7 +124,7 @@ def label_categories(cat: DataFrame, labels: list[str], rules: dict[str, str] |
     name = map_value("label", rules, "Other") if rules else normalize_label("label")
     active = cat.filter("is_active").select("cat_id", "cat_name", "icon_class")
     own = F.struct("cat_id", "cat_name", "icon_class")
-    other = cat.filter("cat_name = 'Other'").agg(F.max(own)).scalar()
+    other = active.filter("cat_name = 'Other'").agg(F.max(own)).scalar()
     found = base.withColumn("cat_name", name).join(active, "cat_name", "left")
     chosen = F.when(F.col("cat_id").isNotNull(), own).otherwise(other)
     return found.select("label", chosen.alias("c")).filter("c IS NOT NULL").select("label", "c.*")
@@ -242,7 +243,7 @@ def score_distinct(docs: DataFrame, scorer, id_col="doc_id", text="text") -> Dat
     hashed = docs.withColumn("_hash", F.md5(text))
     distinct = hashed.groupBy("_hash").agg(F.first(text).alias(text))
     scored = scorer(distinct).drop(text)
-    return hashed.select(id_col, "_hash").join(scored, "_hash").drop("_hash")
+    return join_null_safe(hashed.select(id_col, "_hash"), scored, ["_hash"]).drop("_hash")
 
 
 def issue_from_hint(df: DataFrame, hint: str, out: str = "ai_detected_issue") -> DataFrame:

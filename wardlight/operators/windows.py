@@ -16,6 +16,13 @@ from wardlight.sources.tables import latest_per_key  # noqa: F401  (W02 lives wi
 
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both missing keys, so rows with a NULL key find their own group; keys come once."""
+    renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(renamed, same, how).drop(*(f"_on_{c}" for c in on))
+
+
 def _chunk(ts: str, width_s: int) -> Column:
     return F.floor(seconds(ts) / width_s)
 
@@ -45,7 +52,8 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, days: int, out: str)
     quadratic on a busy key. Here every instant adds its count when it comes and takes it
     back `days` later, so a running sum gives the count in one pass. The time line is cut
     into day chunks; a chunk starts from the totals of the `days` chunks before it, so no
-    window group holds more than a day of distinct instants and their take-backs.
+    window group holds more than a day of distinct instants and their take-backs. A row
+    without a key or a time has no twins and counts 0.
     """
     width = MICROS_PER["DAY"]
     at = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -68,7 +76,7 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, days: int, out: str)
         .filter(F.col("_kind") == 1)
         .select(*keys, ts, (F.col("_seen") - 1).alias(out))
     )
-    return df.join(counted, [*keys, ts])
+    return df.join(counted, [*keys, ts], "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def ordered_position(
@@ -94,11 +102,11 @@ def ordered_position(
     inside = W.partitionBy(*keys, "_chunk").orderBy("_instant", "_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         fine.withColumn("_off", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(chunk_at, [*keys, "_chunk"])
+        .transform(lambda d: join_null_safe(d, chunk_at, [*keys, "_chunk"]))
         .select(*block, (F.col("_at") + F.col("_off")).alias("_off"))
     )
     rank = F.row_number().over(W.partitionBy(*block).orderBy(id_col))
-    placed = tagged.join(offsets, block).withColumn(out, F.col("_off") + rank)
+    placed = join_null_safe(tagged, offsets, block).withColumn(out, F.col("_off") + rank)
     return placed.select(*df.columns, out)
 
 
@@ -114,7 +122,8 @@ def chunked_lag(
     """The previous row's value within a key by (ts, id).
 
     `lag` runs inside (key, chunk); the first row of a chunk takes the last value of the
-    key's previous chunk, found with a combinable `max_by` per chunk.
+    key's previous chunk, found with a combinable `max_by` per chunk. Rows without a key
+    are a group of their own; rows without a time come first in theirs.
     """
     order = F.struct(F.col(ts), F.col(id_col))
     tagged = df.withColumn("_chunk", _chunk(ts, chunk_s))
@@ -123,7 +132,7 @@ def chunked_lag(
         *keys, "_chunk", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_carried")
     )
     w = W.partitionBy(*keys, "_chunk").orderBy(ts, id_col)
-    inside = tagged.join(carried, [*keys, "_chunk"]).withColumns(
+    inside = join_null_safe(tagged, carried, [*keys, "_chunk"]).withColumns(
         {"_rn": F.row_number().over(w), "_lag": F.lag(value).over(w)}
     )
     return inside.withColumn(out, F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_lag"))).select(

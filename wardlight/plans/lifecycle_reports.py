@@ -187,7 +187,12 @@ def l07(r):
 
 @query(
     "l07_rejected_events",
-    with_views("pri", f"WITH {EVENTS_SQL.split(',' + chr(10) + '        folded')[0]} SELECT event_id, new_status, 'invalid status' AS reject_reason FROM cmd WHERE new_status = 'opened'"),
+    with_views(
+        "req",
+        f"""WITH {EVENTS_SQL.split(',' + chr(10) + '        folded')[0]} SELECT event_id, new_status,
+        CASE WHEN new_status = 'opened' THEN 'invalid status' ELSE 'unknown request' END AS reject_reason FROM cmd
+        WHERE new_status = 'opened' OR request_id NOT IN (SELECT request_id FROM req)""",
+    ),
 )
 def l07_rejects(r):
     rejected = L.apply_status_events(r.requests(resolved=False), _commands(r))[1]
@@ -367,7 +372,7 @@ def history(req):
     ),
 )
 def w07(r):
-    req = r.stored_requests
+    req = r.requests()
     return W.timeline(history(req), req)
 
 
@@ -528,21 +533,21 @@ def d07b(r):
 
 @query(
     "j11_request_documents",
+    with_views("req fb", "SELECT r.request_id, r.status, f.rating FROM req r LEFT JOIN fb f ON r.request_id = f.request_id"),
+)
+def j11(r):
+    req = r.requests()
+    docs = Q.request_documents(req, derive_feedback(req, FEEDBACK_LIMITS))
+    return docs.select("request_id", "status", F.col("feedback.rating").alias("rating"))
+
+
+@query(
+    "j11_request_history",
     with_views(
-        "req fb",
-        f"""WITH {HISTORY}, agg AS (SELECT request_id, string_agg(new_status, '>' ORDER BY updated_at) AS steps, count(*) AS n FROM hist GROUP BY 1)
-        SELECT r.request_id, CAST(0 AS BIGINT) AS history_page, coalesce(n, 0) AS n_history, coalesce(steps, '') AS steps, f.rating
-        FROM req r LEFT JOIN agg a ON r.request_id = a.request_id LEFT JOIN fb f ON r.request_id = f.request_id""",
+        "req",
+        f"""WITH {HISTORY} SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY updated_at) AS position, new_status, updated_at FROM hist""",
     ),
 )
-def j11(r):
-    req = r.stored_requests
-    docs = Q.request_documents(req, history(req), derive_feedback(req, FEEDBACK_LIMITS))
-    entries = F.coalesce(F.transform("status_history", lambda h: h["new_status"]), F.array().cast("array<string>"))
-    return docs.select(
-        "request_id",
-        F.col("history_page").cast("long").alias("history_page"),
-        F.size(entries).cast("long").alias("n_history"),
-        F.array_join(entries, ">").alias("steps"),
-        F.col("feedback.rating").alias("rating"),
-    )
+def j11_history(r):
+    changes = Q.request_history(history(r.requests()))
+    return changes.select("request_id", F.col("position").cast("long").alias("position"), "new_status", "updated_at")

@@ -219,7 +219,7 @@ def n09(r):
 @query(
     "n10_choose_channels",
     """WITH n AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium'
-        WHEN 'click' THEN 'low' END AS level FROM events),
+        ELSE 'low' END AS level FROM events),
       c AS (SELECT * FROM (VALUES ('critical','push'),('critical','sms'),('high','push'),('high','email'),('medium','push'),('low','email_digest')) v(level, channel))
       SELECT event_id, channel FROM n JOIN c ON n.level = c.level
       WHERE NOT (channel = 'sms' AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))

@@ -302,7 +302,8 @@ def q17(r):
 )
 def q18(r):
     return Q.request_page(
-        r.requests(), r.usr, r.cat, r.loc, r.dept, r.pri, REQ_AS_OF, 2, 20, status="pending", search="Build"
+        r.requests(resolved=False), r.usr, r.cat, r.loc, r.dept, r.pri, REQ_AS_OF, 2, 20,
+        complete=r.with_resolution, status="pending", search="Build",
     )
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.functions.columns import code, map_value, resolution_hours, time_of_day, year
-from wardlight.session import materialize, spread
 from wardlight.sources.tables import Tables
 
 REQ_AS_OF = "2001-08-02 00:00:00"
@@ -147,8 +146,7 @@ class Roles:
 
     @cached_property
     def docs(self) -> DataFrame:
-        """Documents spread over all cores where the file has few splits."""
-        return spread(self.t["documents"])
+        return self.t["documents"]
 
     # -- requests -----------------------------------------------------------------
 
@@ -182,27 +180,13 @@ class Roles:
         return df.select(*columns)
 
     def requests(self, resolved: bool = True) -> DataFrame:
-        """Requests at order grain, one row per order with a unique id.
-
-        The resolution time is the first ship date after the order date. Line items are
-        reduced to a set of distinct ship dates per order before the join, so that a hot
-        order shrinks map-side and both join sides are unique on the key.
-        """
-        orders = self.t["orders"].join(
+        """Requests at order grain, one row per order with a unique id; see `with_resolution`."""
+        df = self.t["orders"].join(
             self.t["customer"].select("c_custkey", "c_nationkey", "c_mktsegment"),
             F.col("o_custkey") == F.col("c_custkey"),
         )
-        if resolved:
-            ships = (
-                self.t["lineitem"].groupBy("l_orderkey").agg(F.collect_set("l_shipdate").alias("_ships"))
-            )
-            df = orders.join(ships, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-            first = F.array_min(F.filter("_ships", lambda d: d > F.col("o_orderdate")))
-            df = df.withColumn("resolved_at", F.when(F.col("o_orderstatus") == "F", first))
-        else:
-            df = orders.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
         key, cust = F.col("o_orderkey"), F.col("o_custkey")
-        return df.select(
+        rows = df.select(
             key.alias("request_id"),
             code("REQ", year("o_orderdate"), key).alias("code"),
             cust.alias("user_id"),
@@ -215,15 +199,24 @@ class Roles:
             F.when(F.col("o_orderstatus") != "P", cust - cust % 50).alias("assigned_to"),
             F.col("o_orderdate").alias("submitted_at"),
             F.lit(None).cast("timestamp_ntz").alias("assigned_at"),
-            "resolved_at",
-            resolution_hours("o_orderdate", "resolved_at").alias("resolution_hours"),
+            F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
+            resolution_hours("o_orderdate", F.lit(None).cast("timestamp_ntz")).alias("resolution_hours"),
             F.lit(0).alias("is_hotspot_flag"),
         )
+        return self.with_resolution(rows) if resolved else rows
 
-    @cached_property
-    def stored_requests(self) -> DataFrame:
-        """`requests` as a written table, for queries that read it several times."""
-        return materialize(self.requests(), "requests")
+    def with_resolution(self, rows: DataFrame) -> DataFrame:
+        """Requests with their resolution time: the first ship date after the order date.
+
+        A minimum over line items and their request's date, joined and summed up on the same
+        key. Given one page of requests, only their line items are kept.
+        """
+        asked = rows.filter("status = 'resolved'").select(F.col("request_id").alias("_key"), F.col("submitted_at").alias("_asked"))
+        shipped = self.t["lineitem"].select("l_orderkey", "l_shipdate")
+        later = shipped.join(asked, (F.col("_key") == F.col("l_orderkey")) & (F.col("l_shipdate") > F.col("_asked")))
+        first = later.groupBy("_key").agg(F.min("l_shipdate").alias("_first"))
+        found = rows.join(first, F.col("request_id") == F.col("_key"), "left").withColumn("resolved_at", F.col("_first"))
+        return found.withColumn("resolution_hours", resolution_hours("submitted_at", "resolved_at")).select(rows.columns)
 
     # -- incidents ----------------------------------------------------------------
 

@@ -294,7 +294,7 @@ INTAKE_WORDS = {"critical": ["machin"], "high": ["build"], "medium": ["furn"]}
     ),
 )
 def s05_submit(r):
-    out, _ = submit_requests(_raw_requests(r), r.cat, r.stored_requests, REQ_AS_OF, INTAKE_WORDS)
+    out, _ = submit_requests(_raw_requests(r), r.cat, r.requests(), REQ_AS_OF, INTAKE_WORDS)
     return out.select(
         "user_id", "cat_id", "dept_id", "frequency_30d", "urgency_level", "priority_id", "auto_priority_boosted", "predicted_hours"
     )

@@ -53,7 +53,7 @@ def t01(r):
     "t02_suggest_categories",
     with_views(
         "cat",
-        f"""WITH {SCORES}, m AS (SELECT s.doc_id, s.rank, s.score, c.cat_id, c.cat_name, c.icon_class FROM scores s JOIN cat c ON c.cat_name =
+        f"""WITH {SCORES}, m AS (SELECT s.doc_id, s.rank, s.score, c.cat_id, c.cat_name, c.icon_class FROM scores s JOIN cat c ON c.is_active AND c.cat_name =
           CASE label WHEN 'Alpha' THEN 'ECONOMY' WHEN 'Beta' THEN 'LARGE' WHEN 'Gamma' THEN 'MEDIUM' ELSE 'Other' END
           WHERE length(trim(text, ' ')) >= 5)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS INTEGER) AS rank, cat_id, cat_name, icon_class AS icon,

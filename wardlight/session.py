@@ -70,13 +70,3 @@ def settle(summary: DataFrame, label: str) -> DataFrame:
     `autoBroadcastJoinThreshold`, a large one is sorted and merged.
     """
     return materialize(summary, label)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on a scan that has fewer splits than cores.
-
-    Only for plain scans: the split count is then known from the file listing. Tables of
-    many files come back unchanged, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

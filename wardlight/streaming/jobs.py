@@ -31,32 +31,35 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 
 @contextmanager
-def state_partitions(spark: SparkSession):
-    """Start a query with at most two state partitions per core.
+def state_partitions(spark: SparkSession, count: int | None):
+    """Start a query with `count` state partitions, or with the session's shuffle partitions.
 
-    A stateful query keeps its partition count for life and AQE does not merge small
-    partitions for it, so the batch setting is often far too high. The session's own
-    value is put back at once; the started query works on its copy.
+    A stateful query keeps its partition count for the life of its checkpoint, so choose it
+    for the size the state will grow to. The session's own value is put back at once; the
+    started query works on its copy.
     """
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), max(8, 2 * spark.sparkContext.defaultParallelism))))
+    spark.conf.set(name, str(count or before))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def run_to_table(
+    stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None, partitions: int | None = None
+) -> DataFrame:
     """Process all available input, write it append-only with exactly-once files, and read the table.
 
     Pass the same `path` and `checkpoint` again to go on where the last run stopped.
+    `partitions` is the state's partition count at the first start (session value if None).
     """
     spark = stream.sparkSession
     path = path or scratch_dir(spark, label)
     checkpoint = checkpoint or scratch_dir(spark, f"{label}-checkpoint")
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    with state_partitions(spark):
+    with state_partitions(spark, partitions):
         query = writer.outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
