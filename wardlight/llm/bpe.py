@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import small
+
 #: Characters of one piece; a longer text is encoded in pieces that Spark deals out.
 PIECE_CHARS = 65_536
 #: A word of more bytes is encoded in halves.
 LEAF_BYTES = 1_024
 #: Words of at most so many characters are kept, at most so many of them in a worker.
-KEPT_CHARS, KEPT_WORDS = 40, 600_000
+KEPT_CHARS, KEPT_WORDS = 40, 200_000
 
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 #: Characters whose class is the same in every Unicode version; others go to the library.
@@ -278,7 +280,7 @@ def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: in
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             yield finish(batch.column("doc_id"), [enc.encode(t) for t in batch.column("text").to_pylist()])
 
     def joined(key, pdf):
@@ -295,12 +297,12 @@ def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: in
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             ids = [enc.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "doc_id", "piece", "text")), pa.array(ids, pa.binary())], schema=piece)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield finish(batch.column("doc_id"), batch.column("ids").to_pylist())
 
     cut = (
@@ -334,7 +336,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [dec.decode(i or b"") for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], schema=out)
 

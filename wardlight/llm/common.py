@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.session import materialize
 
-__all__ = ["doc_key", "materialize", "read_table", "short_lived_shuffles", "slices_by_bytes"]
+__all__ = ["doc_key", "materialize", "read_table", "short_lived_shuffles", "slices_by_bytes", "small"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,13 @@ def short_lived_shuffles(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices_by_bytes(texts: list[bytes], most: int) -> Iterator[slice]:
     """Consecutive slices of at most `most` bytes together; a longer text is a slice of its own."""
     start = total = 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import doc_key, materialize
+from wardlight.llm.common import doc_key, materialize, small
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 3, 50_000
 
@@ -46,7 +46,7 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     schema = pa.schema([("window", pa.binary()), ("item", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out, items = [], []
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text or b"")
@@ -66,7 +66,7 @@ def _counted(docs: DataFrame, wanted: dict[int, set]) -> Counter:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column("text").to_pylist():
                 words = words_of(text or b"")
                 for k, known in sent.value.items():
@@ -122,7 +122,7 @@ def _joined(docs: DataFrame, index: dict[int, dict]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("n_words", pa.int64()), ("starts", ints), ("ends", ints), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 words = words_of(text or b"")
@@ -157,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shi
     out = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("n_words", pa.int64()), ("hits", span), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for starts, ends in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist()):
                 merged: list[list[int]] = []

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from wardlight.llm.common import slices_by_bytes
+from wardlight.llm.common import slices_by_bytes, small
 
 FIT_DOCS, FIT_LINES, FIT_STEPS = 2_000, 100_000, 200
 THRESHOLD = 0.3
-_BATCH_BYTES = 2_000_000
+_BATCH_BYTES = 1_000_000
 
 #: Character classes by byte; bytes of UTF-8 beyond ASCII count as lower-case letters.
 _CLASSES = ("lower", "upper", "digit", "space", "stop", "bang", "symbol", "pipe", "other")
@@ -206,7 +206,8 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = FIT_STEPS, ridge: f
     """Maximum-likelihood CRF by Adam, then the logistic curve of the document means."""
     if len(set(labels.tolist())) < 2:
         return None
-    x, lengths, per_text = line_features(texts)
+    parts = [line_features(texts[p]) for p in slices_by_bytes(texts, _BATCH_BYTES)]
+    x, lengths, per_text = (np.concatenate([p[i] for p in parts]) for i in range(3))
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[0], scale[scale < 1e-9] = 0, 1
     x = (x - mean) / scale
@@ -289,7 +290,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = StructType([*carried.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             score = np.full(len(texts), 0.5) if model is None else model.scores(texts)
             yield batch.append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= THRESHOLD).astype(np.int32)))
@@ -301,7 +302,7 @@ def drop_rejected(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs without the rows that score below the threshold, columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             yield batch if model is None else batch.filter(pa.array(model.scores(texts) >= THRESHOLD))
 

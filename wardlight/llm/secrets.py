@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import materialize
+from wardlight.llm.common import materialize, small
 
 # The patterns of the contract, in the order of their kinds.
 ASSIGN = re.compile(
@@ -74,7 +74,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans and candidate words of each row; a task's pair counts come in a last row."""
     schema = pa.schema([("doc_id", pa.int64()), ("starts", _INTS), ("kinds", _INTS), ("ends", _INTS), ("words", pa.list_(pa.string())), ("random", _LONGS), ("ordinary", _LONGS)])
     counts = np.zeros((2, SIZE * SIZE), dtype=np.int64)
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for text in batch.column("text").to_pylist():
             text = text or ""
@@ -127,7 +127,7 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("starts", _INTS), ("kinds", _INTS), ("ends", _INTS)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for starts, kinds, ends, words in zip(*(batch.column(c).to_pylist() for c in ("starts", "kinds", "ends", "words"))):
                 n = len(kinds) - len(words)
@@ -181,7 +181,7 @@ def redact_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     model = fit(counts)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             out = []
             for text in batch.column(at).to_pylist():

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import materialize, short_lived_shuffles, slices_by_bytes
+from wardlight.llm.common import materialize, short_lived_shuffles, slices_by_bytes, small
 from wardlight.llm.components import connected_components
 from wardlight.session import scratch_dir
 
@@ -67,7 +67,7 @@ def fingerprint_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             marks = fingerprints([t or b"" for t in batch.column("text").to_pylist()], shingle_words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], schema=schema)
 

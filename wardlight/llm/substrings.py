@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import doc_key, materialize, short_lived_shuffles
+from wardlight.llm.common import doc_key, materialize, short_lived_shuffles, small
 
 LENGTH, Q, RUN = 400, 24, 128
 #: Positions of one text handled at a time, and identifiers of one shuffle task.
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, run: int =
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield _keyed(batch.column("did"), [anchors(t, length, q, run)[1::-1] for t in _texts(batch)])
 
     long_enough = rows.filter(F.octet_length("text") >= length).select("did", "text")
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, run: int =
     state = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("text", pa.binary()), *((c, pa.binary()) for c in ("at", "low", "high"))])
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for text, lists in zip(_texts(batch), batch.column("places").to_pylist()):
                 at = low = high = np.zeros(0, np.int64)
@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, run: int =
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One identifier for all strings of a range: of its first, its last and their distance."""
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for text, low, high in zip(_texts(batch), _packed(batch, "low"), _packed(batch, "high")):
                 both = string_buckets(text, np.stack([low, high], 1).ravel(), length)
@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, run: int =
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Unsettled ranges, and one for each settled identifier, by what all their strings share."""
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for text, at, low, places, firsts in zip(_texts(batch), _packed(batch, "at"), _packed(batch, "low"), batch.column("places").to_pylist(), batch.column("firsts").to_pylist()):
                 chosen = ~np.isin(low, _numbers(places)) | np.isin(low, _numbers(firsts))
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, run: int =
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every string of the ranges whose core is shared by ranges of other strings."""
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for text, low, high, lists in zip(_texts(batch), _packed(batch, "low"), _packed(batch, "high"), batch.column("mixed").to_pylist()):
                 chosen = np.isin(low, _numbers(lists))
@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, run: int =
     )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text, low, high, places, more in zip(batch.column("text").to_pylist(), _packed(batch, "low"), _packed(batch, "high"), batch.column("places").to_pylist(), batch.column("alone").to_pylist()):
                 done = np.isin(low, _numbers(places))
