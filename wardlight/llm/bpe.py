@@ -123,6 +123,11 @@ class Codec:
     def _special(self, text: str) -> bool:
         return any(s in text for s in self.specials)
 
+    def forget(self) -> None:
+        """Give the kept words' memory back; other tasks may run in this worker for long."""
+        self.words.clear()
+        self.chunks.clear()
+
     # -- one word ------------------------------------------------------------------------
 
     def _leaf(self, word: bytes) -> list[int]:
@@ -282,6 +287,7 @@ def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: in
         enc = codec(path)
         for batch in small(batches):
             yield finish(batch.column("doc_id"), [enc.encode(t) for t in batch.column("text").to_pylist()])
+        enc.forget()
 
     def joined(key, pdf):
         import pandas as pd

@@ -29,7 +29,7 @@ from wardlight.llm.components import connected_components
 from wardlight.session import scratch_dir
 
 SHINGLE_WORDS, MAX_BITS = 4, 4
-ROUNDS, TASK_VALUES, ROUND_VALUES = 8, 3_000_000, 4_000_000
+ROUNDS, TASK_VALUES, ROUND_VALUES = 8, 1_500_000, 4_000_000
 _SEED = 42
 _BATCH_BYTES = 1_000_000
 
@@ -91,7 +91,7 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     out = scratch_dir(spark, "links")
     emitted = pa.schema([("task", pa.int32()), ("values", pa.binary()), ("flips", pa.binary())])
     pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    step = max(1, 2_000_000 // len(masks))
+    step = max(1, 600_000 // len(masks))
 
     def emit(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     with short_lived_shuffles(spark):
         for turn in range(rounds):
-            spread = marks.repartition(int(-(-total // (4 * TASK_VALUES))) or 1)
+            spread = marks.repartition(int(-(-total // (8 * TASK_VALUES))) or 1)
             dealt = spread.mapInArrow(emit(turn), "task int, values binary, flips binary").repartitionById(tasks, F.col("task"))
             dealt.mapInArrow(meet, "a long, b long").write.mode("append").parquet(out)
     return spark.read.schema("a long, b long").parquet(out)
