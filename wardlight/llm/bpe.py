@@ -176,6 +176,8 @@ class Codec:
     def _spaced(self, chunk: str) -> bytes:
         """Ids of a chunk behind a space; letters alone are one word."""
         if chunk.isalpha():
+            if chunk.isascii() and len(chunk) < LEAF_BYTES:
+                return array("I", [t.id for t in self.tokenize(self.stand_in[32] + chunk)]).tobytes()
             return self._ids(b" " + chunk.encode())
         return self._chunk(" " + chunk)
 
@@ -273,12 +275,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: int = PIECE_CHARS) -> DataFrame:
+def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: int = PIECE_CHARS, keep: bool = False) -> DataFrame:
     """Encode `text` of every row and apply `finish` to batches of (doc_id, ids).
 
     `finish(doc_ids, ids)` takes the Arrow column of ids and a list of id bytes and returns a
     record batch of `schema`. Texts of up to `piece_chars` characters are encoded in the scan.
     Longer ones are cut into pieces that are dealt over the cluster and joined again per row.
+    With `keep`, a worker's next tasks find the words of this one, for jobs that do little else.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     long_text = F.length("text") > piece_chars
@@ -287,7 +290,8 @@ def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: in
         enc = codec(path)
         for batch in small(batches):
             yield finish(batch.column("doc_id"), [enc.encode(t) for t in batch.column("text").to_pylist()])
-        enc.forget()
+        if not keep:
+            enc.forget()
 
     def joined(key, pdf):
         import pandas as pd
@@ -365,4 +369,4 @@ def round_trip_digests(docs: DataFrame, path: str, piece_chars: int = PIECE_CHAR
             schema=out,
         )
 
-    return encode_rows(docs, path, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", piece_chars)
+    return encode_rows(docs, path, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", piece_chars, keep=True)

@@ -124,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
 
     types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     out_schema = pa.schema([(k, types[v]) for k, v in (c.split() for c in _BLOCK.split(", "))])
-    frames = bpe.encode_rows(docs, path, framed, _FRAME)
+    frames = bpe.encode_rows(docs, path, framed, _FRAME, keep=True)
     frames.repartition(parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(blocks, _BLOCK).write.parquet(f"{out}/blocks")
 
     totals = (
