@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm import bpe
+from wardlight.llm.common import small
 from wardlight.session import scratch_dir
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
@@ -136,8 +137,12 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
     totals.select("part", before.alias("part_start")).coalesce(1).write.parquet(f"{out}/parts")  # MAX_PARTS rows at most
 
 
-def read_tokens(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, start, ids (little-endian unsigned 32-bit) of a token table, or of some documents."""
+def read_rows(spark: SparkSession, out: str, finish, schema: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """`finish(doc_ids, starts, ids)` over the blocks of a token table, or over some documents.
+
+    `ids` are bytes of little-endian unsigned 32-bit integers; `finish` returns a record batch of
+    `schema`. A task holds the ids of one block at a time.
+    """
     blocks = spark.read.schema(_BLOCK).parquet(f"{out}/blocks")
     if doc_ids is not None:
         wanted = F.array(*map(F.lit, sorted(doc_ids)))
@@ -147,25 +152,32 @@ def read_tokens(spark: SparkSession, out: str, doc_ids: list[int] | None = None)
     dictionary, sha = spark.read.parquet(f"{out}/dictionary").first()
     dictionary = bytes(dictionary)
     only = None if doc_ids is None else set(doc_ids)
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.codec.cache_clear()  # a worker that reads gives the encoder's memory back
         decompress = _zstd(dictionary)[1].decompress
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["dictionary"] != sha:
-                    raise ValueError("a block was written with another dictionary")
-                first = row["part_start"] + row["start"]
-                starts = first + np.concatenate([[0], np.cumsum(row["n_tokens"])])
-                at = [i for i, d in enumerate(row["doc_ids"]) if only is None or d in only]
-                o, data = row["offsets"], row["frames"]
-                ids = [np.frombuffer(decompress(data[o[i] : o[i + 1]]), f"<u{row['width']}").astype("<u4").tobytes() for i in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["doc_ids"][i] for i in at], pa.int64()), pa.array([int(starts[i]) for i in at], pa.int64()), pa.array(ids, pa.binary())],
-                    schema=schema,
-                )
-
-    return blocks.join(F.broadcast(starts), "part").mapInArrow(frames, "doc_id long, start long, ids binary")  # MAX_PARTS rows
+        for batch in small(batches, 1):
+            (row,) = batch.to_pylist()
+            if row["dictionary"] != sha:
+                raise ValueError("a block was written with another dictionary")
+            first = row["part_start"] + row["start"]
+            starts = first + np.concatenate([[0], np.cumsum(row["n_tokens"])])
+            at = [i for i, d in enumerate(row["doc_ids"]) if only is None or d in only]
+            o, data = row["offsets"], row["frames"]
+            ids = [np.frombuffer(decompress(data[o[i] : o[i + 1]]), f"<u{row['width']}").astype("<u4").tobytes() for i in at]
+            yield finish(pa.array([row["doc_ids"][i] for i in at], pa.int64()), pa.array([int(starts[i]) for i in at], pa.int64()), ids)
+
+    return blocks.join(F.broadcast(starts), "part").mapInArrow(frames, schema)  # MAX_PARTS rows
+
+
+def read_tokens(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """doc_id, start, ids (little-endian unsigned 32-bit) of a token table, or of some documents."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+
+    def finish(doc_ids, starts, ids):
+        return pa.RecordBatch.from_arrays([doc_ids, starts, pa.array(ids, pa.binary())], schema=schema)
+
+    return read_rows(spark, out, finish, "doc_id long, start long, ids binary", doc_ids)
 
 
 def written_digests(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
@@ -174,12 +186,8 @@ def written_digests(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     write_tokens(docs, path, out, end_id)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64())],
-                schema=schema,
-            )
+    def finish(doc_ids, starts, ids):
+        counts, sums = [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids]
+        return pa.RecordBatch.from_arrays([doc_ids, starts, pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], schema=schema)
 
-    return read_tokens(docs.sparkSession, out).mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_rows(docs.sparkSession, out, finish, "doc_id long, start long, n_tokens long, ids_crc32 long")
