@@ -34,6 +34,8 @@ from wardlight.session import scratch_dir
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
 BLOCK_DOCS, PART_DOCS, MAX_PARTS = 512, 8_192, 10_000
+#: Parquet row groups of the blocks: a reader holds one of them at a time.
+ROW_GROUP_BYTES = 16 << 20
 
 _FRAME = "part int, doc_id long, n_tokens long, frame binary"
 _BLOCK = (
@@ -126,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
     types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     out_schema = pa.schema([(k, types[v]) for k, v in (c.split() for c in _BLOCK.split(", "))])
     frames = bpe.encode_rows(docs, path, framed, _FRAME, keep=True)
-    frames.repartition(parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(blocks, _BLOCK).write.parquet(f"{out}/blocks")
+    frames.repartition(parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(blocks, _BLOCK).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{out}/blocks")
 
     totals = (
         spark.read.schema(_BLOCK).parquet(f"{out}/blocks")
