@@ -132,8 +132,9 @@ def enqueue(n: DataFrame) -> DataFrame:
 
 
 def dedupe_queue(q: DataFrame, order: list | None = None) -> DataFrame:
-    """One queue row per idempotency key, the one with the newest schedule."""
-    return latest_per_key(q, ["idempotency_key"], order or ["scheduled_at"])
+    """One queue row per idempotency key, the one with the newest schedule, then the largest by all columns."""
+    first = order or ["scheduled_at"]
+    return latest_per_key(q, ["idempotency_key"], [*first, *(c for c in q.columns if c not in first)])
 
 
 def due_batch(q: DataFrame, now, n: int = 10, id_col: str = "queue_id") -> DataFrame:

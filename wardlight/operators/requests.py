@@ -9,7 +9,7 @@ from wardlight.functions.columns import ago, as_of_ts, iso_yearweek, micros, mon
 from wardlight.functions.measures import DONE, OPEN, avg_where, count_where, is_done, n_rows, pct, pct_of_total, stat, status_is
 from wardlight.operators.filters import filter_requests, trailing
 from wardlight.operators.joins import age_hours, category_join, dim_left_agg, enrich_requests, is_breached
-from wardlight.operators.windows import ordered_position, page, pct_change, rolling
+from wardlight.operators.windows import dense_periods, ordered_position, page, pct_change, rolling
 
 LOC_COLS = ["location_id", "ward_number", "area_name", "zone", "latitude", "longitude"]
 
@@ -470,11 +470,24 @@ def sla_at_risk(r: DataFrame, pri: DataFrame, as_of, hours: int = 3, closed_stat
 
 
 def wow_trend(r: DataFrame, as_of, weeks: int = 8) -> DataFrame:
-    """Week-over-week change per category and location over the last full weeks."""
-    recent = trailing(r, "submitted_at", as_of, f"{weeks} weeks")
-    week_no = F.floor(F.datediff(F.date_trunc("week", "submitted_at").cast("date"), F.lit("1970-01-05").cast("date")) / 7)
-    weekly = recent.groupBy("cat_id", "location_id", week_no.alias("week_no")).agg(n_rows().alias("n"))
-    return pct_change(weekly, ["cat_id", "location_id"], "week_no", "n")
+    """Week-over-week change per category and location over the last `weeks` full weeks.
+
+    Weeks start on Mondays; the open week of `as_of` is left out. A pair that occurs in any of
+    the weeks has a row for each of them, so a quiet week counts 0 and shows -100 %.
+    """
+
+    def monday(c):
+        return F.date_trunc("week", c).cast("date")
+
+    def number(day):
+        return F.floor(F.datediff(day, F.lit("1970-01-05").cast("date")) / 7)
+
+    end = monday(as_of_ts(as_of))
+    at = F.col("submitted_at")
+    recent = r.filter((at >= F.date_sub(end, 7 * weeks).cast("timestamp_ntz")) & (at < end.cast("timestamp_ntz")))
+    weekly = recent.groupBy("cat_id", "location_id", number(monday(at)).alias("week_no")).agg(n_rows().alias("n"))
+    pair, last = ["cat_id", "location_id"], number(end) - 1
+    return pct_change(dense_periods(weekly, pair, "week_no", "n", last - (weeks - 1), last), pair, "week_no", "n")
 
 
 # -- one-to-many assembly ---------------------------------------------------------

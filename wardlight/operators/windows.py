@@ -153,10 +153,16 @@ def pct_change(df: DataFrame, keys: list[str], period: str, value: str, out: str
     one row per key and period, and a missing period yields NULL.
     """
     before = df.select(*keys, (F.col(period) + 1).alias(period), F.col(value).alias("_before"))
-    joined = df.join(before, [*keys, period], "left")
+    joined = join_null_safe(df, before, [*keys, period], "left")
     return joined.withColumn(out, pct_change_of(value, "_before")).withColumnRenamed("_before", f"previous_{value}")
 
 
+def dense_periods(df: DataFrame, keys: list[str], period: str, value: str, first: Column, last: Column) -> DataFrame:
+    """One row per key and whole-number period from `first` to `last`; periods without a row count 0."""
+    every = df.select(*keys).distinct().withColumn(period, F.explode(F.sequence(first, last)))
+    return join_null_safe(every, df, [*keys, period], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+
+
 def rolling(daily: DataFrame, days: int, day: str = "day", value: str = "n", keys: tuple = ()) -> DataFrame:
     """Rolling sum and mean per calendar day over the last `days` days, gaps counted as 0.
 

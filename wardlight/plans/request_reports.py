@@ -451,9 +451,13 @@ def q42(r):
     "q46_wow_trend",
     with_views(
         "lines",
-        """WITH weekly AS (SELECT cat_id, location_id,
-          CAST(date_sub('day', DATE '1970-01-05', CAST(date_trunc('week', submitted_at) AS DATE)) // 7 AS BIGINT) AS week_no, count(*) AS n
-          FROM lines WHERE submitted_at >= {R_NOW} - INTERVAL 56 DAY GROUP BY ALL)
+        """WITH b AS (SELECT date_trunc('week', {R_NOW}) AS monday,
+          CAST(date_sub('day', DATE '1970-01-05', CAST(date_trunc('week', {R_NOW}) AS DATE)) // 7 AS BIGINT) AS week_no),
+        seen AS (SELECT cat_id, location_id, CAST(date_sub('day', DATE '1970-01-05', CAST(submitted_at AS DATE)) // 7 AS BIGINT) AS week_no
+          FROM lines, b WHERE submitted_at >= monday - INTERVAL 56 DAY AND submitted_at < monday),
+        weekly AS (SELECT p.cat_id, p.location_id, b.week_no - i AS week_no, count(s.week_no) AS n
+          FROM (SELECT DISTINCT cat_id, location_id FROM seen) p, b, (SELECT unnest(range(1, 9)) AS i)
+          LEFT JOIN seen s ON s.cat_id = p.cat_id AND s.location_id = p.location_id AND s.week_no = b.week_no - i GROUP BY ALL)
         SELECT a.cat_id, a.location_id, a.week_no, a.n, b.n AS previous_n, round((a.n - b.n) * 100.0 / nullif(b.n, 0), 1) AS pct_change
         FROM weekly a LEFT JOIN weekly b ON a.cat_id = b.cat_id AND a.location_id = b.location_id AND a.week_no = b.week_no + 1""",
     ),

@@ -176,12 +176,14 @@ def s07(r):
 
 @query(
     "s08_insert_ignore",
-    f"""WITH d AS ({NEWEST}) SELECT c_custkey AS user_id, 'base' AS origin FROM customer
-      UNION ALL SELECT user_id, 'delta' FROM d WHERE user_id NOT IN (SELECT c_custkey FROM customer)""",
+    """SELECT c_custkey AS user_id, 'none' AS kind, 'base' AS origin FROM customer
+      UNION ALL SELECT user_id * 11, arg_min(event_type, event_id), 'delta' FROM events
+      WHERE user_id * 11 NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""",
 )
 def s08(r):
-    base = _base(r).select("user_id", F.lit("base").alias("origin"))
-    return S.insert_ignore(base, _delta(r).select("user_id", F.lit("delta").alias("origin")), ["user_id"])
+    base = _base(r).select("user_id", "kind", F.lit("base").alias("origin"))
+    delta = _delta(r).select("user_id", "kind", F.lit("delta").alias("origin"), "version")
+    return S.insert_ignore(base, delta, ["user_id"], ["version"]).select("user_id", "kind", "origin")
 
 
 @query(

@@ -251,14 +251,18 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """Delta rows replace base rows of the same key; the newest delta row of a key wins."""
-    fresh = latest_per_key(delta, keys, [order_col])
+    """Delta rows replace base rows of the same key; the newest delta row of a key wins, of
+    equally new ones the largest by all columns."""
+    fresh = latest_per_key(delta, keys, [order_col, *(c for c in delta.columns if c != order_col)])
     return base.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def insert_ignore(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Append only delta rows whose key the base lacks; one row per new key."""
-    fresh = delta.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti")
+def insert_ignore(base: DataFrame, delta: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Append only delta rows whose key the base lacks; of a new key the first row by `order`,
+    then by all columns."""
+    first = [*(order or []), *(c for c in delta.columns if c not in (order or []))]
+    new = delta.join(base.select(*keys), keys, "left_anti")
+    fresh = new.groupBy(*keys).agg(F.min_by(F.struct(*delta.columns), F.struct(*first)).alias("_row")).select("_row.*")
     return base.unionByName(fresh, allowMissingColumns=True)
 
 
