@@ -250,6 +250,30 @@ def test_sharding(spark):
     assert sum(at[a] == at[b] for a, b in pairs) > 0.8 * len(pairs)
 
 
+def test_sharding_keeps_groups_whole(spark):
+    from tests.llm.conftest import make_docs
+
+    free = [f"own {i}" for i in range(500)]
+    for rest in (free, [f"pair {i // 2}" for i in range(500)]):  # with and without rows to swap
+        sizes = {"hot": 800, "large": 70, "other": 60, **{f"ten {k}": 10 for k in range(97)}}
+        texts = [t for t, k in sizes.items() for _ in range(k)] + rest
+        got = sharding.shard_documents(make_docs(spark, list(enumerate(texts)))).collect()
+        counts = Counter(r["shard"] for r in got)
+        assert len(got) == len(texts) == 2_400 and set(counts.values()) == {100}
+        at = {}
+        for r in got:
+            at.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        assert len(at["hot"]) == 8 and len(at["large"]) == len(at["other"]) == 1
+        assert sum(len(s) > 1 for t, s in at.items() if t != "hot") <= (0 if rest is free else 23)
+
+
+def test_seats_fill_exactly():
+    room = [100] * 24
+    parts = sharding._seats([850, 70, 60, 50, 30], room)
+    assert [len(p) for p in parts] == [9, 1, 1, 1, 1] and [sum(x for _, x in p) for p in parts] == [850, 70, 60, 50, 30]
+    assert parts[3][0][0] == parts[0][-1][0] and sum(room) == 2_400 - 1_060 and min(room) == 0
+
+
 # -- quality ----------------------------------------------------------------------------------------
 
 

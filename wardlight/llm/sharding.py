@@ -1,14 +1,14 @@
-"""Sharding by balanced label propagation.
+"""Balanced sharding that keeps equal texts together.
 
-Documents of equal text are linked. Every document starts in a shard drawn from its id; in each
-round the members of a group move towards the shard that holds most of the group, the largest
-gains first, under quotas: between two shards as many documents go one way as come back, plus
-what the target has room for (a tenth above its size while documents move). Votes are counts per group and shard, so a group of any size costs
-one row per shard and task. A last step moves documents, those without links first, from shards
-above their size to shards below, after which no two row counts differ by more than one.
+Documents of equal text are a group. Groups above a fiftieth of a shard (less than fifty per
+shard) are seated on the driver, the largest first: whole in the fullest shard with room for
+them; one that fits nowhere fills the emptiest shards in turn. The smaller groups are laid on a
+line by running sums and cut into stretches in proportion to the room left; the at most one group
+per shard that crosses the end of a stretch is seated like the large ones. Documents without an
+equal text fill the gaps. So a group is cut only if no shard has room for the whole of it when
+its turn comes.
 
-The law that holds is `rows`: counts are at most one apart. A group above the size of a shard
-is split by the quotas.
+The law that holds is `rows`: counts are at most one apart.
 
 Defined results: a null text has no bytes and the checksum of the empty text, and belongs to
 the group of empty texts; repeated rows and null ids are rows like any other. With fewer rows
@@ -19,20 +19,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wardlight.llm.common import materialize
 
-SHARDS, MAX_ROUNDS = 24, 8
-#: While documents move, a shard may hold so much more than its size.
-SLACK = 0.1
-#: Rows of one numbering task.
-CHUNK_ROWS = 50_000
+SHARDS = 24
+#: Groups of more than this part of a shard are seated on the driver.
+LARGE = 50
+#: Rows of one numbering task, and the least number of such tasks.
+CHUNK_ROWS, CHUNKS = 50_000, 256
+
+
+def _chunk(key: str, n_rows: int) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(int(max(CHUNKS, -(-n_rows // CHUNK_ROWS))))).cast("int")
 
 
 def _numbered(rows: DataFrame, key: str, order: list, n_rows: int) -> DataFrame:
     """rows with `place`: 0, 1, ... within each key by `order` (hashed into chunks, so no key meets in one task)."""
-    chunks = int(max(1, -(-n_rows // CHUNK_ROWS)))
-    cut = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
+    cut = rows.withColumn("chunk", _chunk("row", n_rows))
     rank = Window.partitionBy(key, *order[:-1], "chunk").orderBy(order[-1])
     counts = cut.groupBy(key, *order[:-1], "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy(key).orderBy(*order[:-1], "chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,74 +46,77 @@ def _numbered(rows: DataFrame, key: str, order: list, n_rows: int) -> DataFrame:
     return joined.withColumn("place", F.col("offset") + F.col("within")).drop("chunk", "within", "offset")
 
 
-def _moves(pairs: dict[tuple[int, int], int], load: list[int], cap: list[int]) -> dict[tuple[int, int], int]:
-    """How many of those that wish to go from i to j may: swaps first, then what j has room for."""
-    quota = {(i, j): min(n, pairs.get((j, i), 0)) for (i, j), n in pairs.items()}
-    room = [max(0, c - at) for c, at in zip(cap, load)]
-    for (i, j), n in sorted(pairs.items(), key=lambda p: (-p[1], p[0])):
-        more = min(n - quota[i, j], room[j])
-        quota[i, j] += more
-        room[j] -= more
-    return {k: v for k, v in quota.items() if v}
-
-
-def _apply(rows: DataFrame, wishes: DataFrame, quota: dict[tuple[int, int], int], n_rows: int) -> DataFrame:
-    """rows with the shard of the first `quota` wishes of each pair of shards changed."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(i * 1000 + j, n) for (i, j), n in quota.items()] or [(-1, 0)], "pair int, quota long")
-    wished = wishes.withColumn("pair", (F.col("shard") * 1000 + F.col("target")).cast("int")).join(F.broadcast(table), "pair")  # shards squared
-    ranked = _numbered(wished.select("row", "pair", "target", "quota", "rank_class"), "pair", ["rank_class", "row"], n_rows)
-    moved = ranked.filter("place < quota").select("row", F.col("target").cast("int").alias("to"))
-    return rows.join(moved, "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
-
-
-def balanced_shards(links: DataFrame, shards: int = SHARDS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _seats(sizes: list[int], room: list[int]) -> list[list[tuple[int, int]]]:
+    """(shard, rows) parts of each group, given largest first; takes the seats from `room`."""
+    out = []
+    for size in sizes:
+        parts = []
+        while size:
+            fits = [i for i, x in enumerate(room) if x >= size]
+            i = min(fits, key=lambda i: room[i]) if fits else max(range(len(room)), key=lambda i: room[i])
+            taken = min(size, room[i])
+            parts.append((i, taken))
+            room[i] -= taken
+            size -= taken
+        out.append(parts)
+    return out
+
+
+def _line(groups: DataFrame, n_rows: int) -> DataFrame:
+    """groups(link, size) with `start`: the rows of all groups before it."""
+    cut = groups.withColumn("chunk", _chunk("link", n_rows))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("chunk").agg(F.sum("size").alias("total"))
+    offsets = totals.select("chunk", F.coalesce(F.sum("total").over(earlier(Window.partitionBy(F.lit(0)).orderBy("chunk"))), F.lit(0)).alias("offset"))  # a row per chunk
+    within = F.coalesce(F.sum("size").over(earlier(Window.partitionBy("chunk").orderBy("link"))), F.lit(0))
+    return cut.withColumn("within", within).join(offsets, "chunk").select("link", "size", (F.col("offset") + F.col("within")).alias("start"))
+
+
+def _stretch(place: str, lengths: list[int]) -> F.Column:
+    """The shard in whose stretch a place lies; shards follow each other with these lengths."""
+    to, edge = F.lit(None).cast("int"), 0
+    for i, x in enumerate(lengths):
+        edge += x
+        to = F.coalesce(to, F.when(F.col(place) < edge, F.lit(i)))
+    return to
+
+
+def balanced_shards(links: DataFrame, shards: int = SHARDS) -> DataFrame:
     """row, shard for links(row, link): rows of one link value belong together, null ones are free."""
-    n = links.count()
-    cap = [n // shards + (i < n % shards) for i in range(shards)]
-    start = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).cast("int")
-    sizes = links.filter("link is not null").groupBy("link").agg(F.count("*").alias("size")).filter("size > 1")
-    tied = links.join(sizes, "link", "left")
-    now = materialize(tied.select("row", F.when(F.col("size").isNotNull(), F.col("link")).alias("link"), start.alias("shard")), "shards")
-
-    def loads(rows):
-        got = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row per shard
-        return [got.get(i, 0) for i in range(shards)]
-
-    for _ in range(max_rounds):
-        votes = now.filter("link is not null").groupBy("link", "shard").agg(F.count("*").alias("votes"))
-        best = votes.groupBy("link").agg(F.max_by(F.col("shard"), F.struct(F.col("votes"), F.xxhash64("link", "shard"))).alias("target"), F.max("votes").alias("most"))
-        wishes = (
-            now.filter("link is not null")
-            .join(best, "link")
-            .filter("shard <> target")
-            .join(votes, ["link", "shard"])
-            # Large gains first, in classes of powers of two.
-            .select("row", "shard", "target", (-F.floor(F.log2((F.col("most") - F.col("votes") + 1).cast("double")))).cast("int").alias("rank_class"))
-        )
-        wishes = materialize(wishes, "wishes")
-        pairs = {(r["shard"], r["target"]): r["n"] for r in wishes.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
-        quota = _moves(pairs, loads(now), [int(c * (1 + SLACK)) + 2 for c in cap])
-        if sum(quota.values()) < max(1, n // 2000):
-            break
-        now = materialize(_apply(now, wishes, quota, n), "shards")
-
-    load = loads(now)
-    over = [(i, load[i] - cap[i]) for i in range(shards) if load[i] > cap[i]]
-    if over:  # the tail: free rows leave first, and fill the gaps in order
-        gaps = [(i, cap[i] - load[i]) for i in range(shards) if load[i] < cap[i]]
-        leaving = now.withColumn("rank_class", F.col("link").isNotNull().cast("int"))
-        spark = now.sparkSession
-        surplus = spark.createDataFrame([(i, x, sum(y for k, y in over if k < i)) for i, x in over], "shard int, surplus long, skip long")
-        ranked = _numbered(leaving.join(F.broadcast(surplus), "shard").select("row", "shard", "surplus", "skip", "rank_class"), "shard", ["rank_class", "row"], n)
-        seat = F.col("place") + F.col("skip")
-        to, edge = F.lit(None).cast("int"), 0
-        for i, x in gaps:
-            edge += x
-            to = F.coalesce(to, F.when(seat < edge, F.lit(i)))
-        moved = ranked.filter("place < surplus").select("row", to.alias("to"))
-        now = materialize(now.join(moved, "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "shards")
-    return now.select("row", "shard")
+    spark, n = links.sparkSession, links.count()
+    room = [n // shards + (i < n % shards) for i in range(shards)]
+    named = links.filter("link is not null")
+    groups = materialize(named.groupBy("link").agg(F.count("*").alias("size")).filter("size > 1"), "groups")
+    is_large = F.col("size") * LARGE > n // shards
+    seated = sorted(((r["link"], r["size"]) for r in groups.filter(is_large).collect()), key=lambda g: -g[1])  # under LARGE + 1 a shard
+    parts = _seats([size for _, size in seated], room)
+
+    line = _line(groups.filter(~is_large), n)
+    total = groups.filter(~is_large).agg(F.sum("size")).first()[0] or 0
+    ends = [sum(room[: i + 1]) * total // max(1, sum(room)) for i in range(shards)]
+    stretches = [e - s for s, e in zip([0, *ends], ends)]
+    end = F.element_at(F.array(*map(F.lit, ends)), F.col("shard") + 1)
+    laid = materialize(line.withColumn("shard", _stretch("start", stretches)).withColumn("crosses", F.col("start") + F.col("size") > end), "line")
+    for r in laid.filter("not crosses").groupBy("shard").agg(F.sum("size").alias("n")).collect():  # one row per shard
+        room[r["shard"]] -= r["n"]
+    crossing = sorted(((r["link"], r["size"]) for r in laid.filter("crosses").collect()), key=lambda g: -g[1])  # at most one per shard
+    seated, parts = seated + crossing, parts + _seats([size for _, size in crossing], room)
+
+    named_type = StructType([links.schema["link"], StructField("id", IntegerType()), StructField("shard", IntegerType())])
+    heads = F.broadcast(spark.createDataFrame([(link, i, p[0][0] if len(p) == 1 else None) for i, ((link, _), p) in enumerate(zip(seated, parts))], named_type))
+    spans = [(i, sum(x for _, x in p[:k]), sum(x for _, x in p[: k + 1]), s) for i, p in enumerate(parts) if len(p) > 1 for k, (s, _) in enumerate(p)]
+    table = F.broadcast(spark.createDataFrame(spans, "id int, begin long, end long, to int"))
+    at_heads = named.join(heads, "link")
+    ranked = _numbered(at_heads.filter("shard is null").select("row", "id"), "id", ["row"], n)
+    placed = (
+        at_heads.filter("shard is not null").select("row", "shard")
+        .unionByName(ranked.join(table, "id").filter("place >= begin and place < end").select("row", F.col("to").alias("shard")))
+        .unionByName(named.join(heads, "link", "left_anti").join(laid.filter("not crosses").select("link", "shard"), "link", "left").select("row", "shard"))
+        .unionByName(links.filter("link is null").select("row", F.lit(None).cast("int").alias("shard")))
+    )
+    placed = materialize(placed, "placed")
+    free = _numbered(placed.filter("shard is null").select("row", F.lit(0).alias("all")), "all", ["row"], n)
+    return placed.filter("shard is not null").unionByName(free.select("row", _stretch("place", room).alias("shard")))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
