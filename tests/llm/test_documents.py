@@ -142,6 +142,15 @@ def test_simhash_components(docs, rows):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({v for v in least.values() if v is not None})
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    from tests.llm.conftest import make_docs
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (2, text(5)), (8, text(5)), (8, text(6)), (None, text(6))]
+    kept = simhash.drop_near_duplicates(make_docs(spark, rows))
+    assert found(kept, "doc_id", "text") == Counter([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (2, text(5)), (8, text(6))])
+
+
 def test_links_reach_every_near_pair(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40, dtype=np.int64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import materialize, short_lived_shuffles, slices_by_bytes, small
+from wardlight.llm.common import doc_key, materialize, short_lived_shuffles, slices_by_bytes, small
 from wardlight.llm.components import connected_components
 from wardlight.session import scratch_dir
 
@@ -63,16 +63,16 @@ def fingerprints(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.n
 
 
 def fingerprint_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fingerprint (the 64 bits as a signed long) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+    """doc_id, key (of id and text), fingerprint (the 64 bits as a signed long) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fingerprint", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             marks = fingerprints([t or b"" for t in batch.column("text").to_pylist()], shingle_words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(marks.view(np.int64))], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long"), doc_key().alias("key"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fingerprint long")
 
 
 def ball(radius: int, bits: int = 64) -> np.ndarray:
@@ -147,15 +147,21 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return spark.read.schema("a long, b long").parquet(out)
 
 
+def components(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fingerprint, component_id, component_key (of the row that stands for the component) of each fingerprint."""
+    roots = connected_components(links(rows, max_bits)).select(F.col("node").alias("fingerprint"), "root")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    first = rows.groupBy("fingerprint").agg(F.min(order).alias("first"))
+    placed = first.join(roots, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    of = placed.join(least, "root").select("fingerprint", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("component_key"))
+    return materialize(of, "components")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (signed long), component_id of every row of docs(doc_id, text)."""
     rows = materialize(fingerprint_documents(docs, shingle_words), "marks")
-    roots = connected_components(links(rows, max_bits)).select(F.col("node").alias("fingerprint"), "root")
-    first = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    placed = first.join(roots, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = materialize(placed.join(least, "root").select("fingerprint", "component_id"), "components")
-    return rows.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return rows.join(components(rows, max_bits), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def component_table(docs: DataFrame) -> DataFrame:
@@ -164,18 +170,25 @@ def component_table(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id.
+    """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest key.
 
-    Rows of one doc_id are one document and leave one row. The others are dropped by an anti
-    join on their ids, which moves no text while these are few.
+    Rows are told apart by doc_id and text, so rows that share an id, null ones too, stand or
+    fall each by its own text; only rows equal in both leave one row. The others are dropped by
+    an anti join on id and key, which moves no text while these are few.
     """
-    rows = near_duplicates(docs, shingle_words, max_bits)
-    kept = materialize(rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    ids = rows.select(F.col("doc_id").alias("dropped")).distinct()
-    rest = materialize(ids.join(kept, ids["dropped"].eqNullSafe(kept["doc_id"]), "left_anti"), "dropped")
-    out = docs.join(rest, docs["doc_id"].eqNullSafe(rest["dropped"]), "left_anti")
-    repeated = kept.filter("copies > 1").select(F.col("doc_id").alias("again"))
+    rows = materialize(fingerprint_documents(docs, shingle_words), "marks")
+    keepers = components(rows, max_bits).select("component_id", "component_key").distinct()
+    copies = rows.groupBy("doc_id", "key").agg(F.count("*").alias("copies"))
+    is_keeper = copies["key"].eqNullSafe(keepers["component_key"]) & copies["doc_id"].eqNullSafe(keepers["component_id"])
+    decided = materialize(copies.join(keepers, is_keeper, "left").select("doc_id", "key", "copies", F.col("component_key").isNotNull().alias("kept")), "decided")
+
+    def same(left: DataFrame, right: DataFrame) -> F.Column:
+        return F.xxhash64(left["doc_id"], left["text"]).eqNullSafe(right["of_key"]) & left["doc_id"].eqNullSafe(right["of_id"])
+
+    rest = decided.filter("not kept").select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"))
+    out = docs.join(rest, same(docs, rest), "left_anti")
+    repeated = decided.filter("kept and copies > 1").select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"))
     if not repeated.take(1):
         return out
-    again = out["doc_id"].eqNullSafe(repeated["again"])
-    return out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+    again = same(out, repeated)
+    return out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
