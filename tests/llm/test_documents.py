@@ -306,6 +306,19 @@ def test_quality_learns_lines(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["predicted"])
 
 
+def test_quality_skips_a_huge_labelled_text(spark):
+    from tests.llm.conftest import make_docs
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    huge = labels.filter(~quality.held_out()).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    text = lambda i: ["%%% !!! ###", "the river walks"][i % 2]
+    docs = make_docs(spark, [(i, text(i) * (2_000 if i == huge else 1)) for i in range(100)])
+    model = quality.train(docs, labels, fit_lines=100)
+    assert model is not None
+    good, bad = model.scores([text(1).encode(), text(0).encode()])
+    assert good > 0.5 > bad
+
+
 def test_forward_backward_against_all_labelings():
     from itertools import product
 

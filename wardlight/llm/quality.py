@@ -6,7 +6,8 @@ line's probability of being good; the mean of these, weighted by line length, is
 the document's score by a logistic curve fitted on the same training documents.
 
 Training: lines take the label of their document. The fit uses at most `FIT_DOCS` labelled
-documents with at most `FIT_LINES` lines together, whole documents in the order of a hash of
+documents with at most `FIT_LINES` lines and 100 bytes a line of that together (10 MB; one that
+does not fit is passed over), whole documents in the order of a hash of
 doc_id; scoring covers every row and every whole text. Only the text is an input of a score.
 
 Defined results: null and empty texts are one empty line and get a score like any other; without
@@ -275,9 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_line
     )
     taken, lines, n_bytes = [], 0, 0
     for r in ordered:
-        lines, n_bytes = lines + r["lines"], n_bytes + (r["bytes"] or 0)
-        if lines > fit_lines or n_bytes > 100 * fit_lines:
-            break
+        more, more_bytes = lines + r["lines"], n_bytes + (r["bytes"] or 0)
+        if more > fit_lines or more_bytes > 100 * fit_lines:
+            continue  # the next ones may fit
+        lines, n_bytes = more, more_bytes
         taken.append(r["doc_id"])
     rows = {r["doc_id"]: bytes(r["text"]) for r in docs.filter(F.col("doc_id").isin(taken)).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["doc_id"]).collect()}
     ids = sorted(rows)
