@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import bpe, decontaminate, extraction, neighbours, quality, secrets, sharding, simhash, substrings, token_files
+from wardlight.llm import (
+    bpe,
+    decontaminate,
+    divergence,
+    extraction,
+    fill_middle,
+    neighbours,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    substrings,
+    token_files,
+)
 from wardlight.llm.common import read_table
 
 
@@ -54,11 +68,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_simhash, op4_repeated_substrings, op5_html_extraction, op6_sharding, op7_nearest_neighbours, op8_bpe, op9_token_files, op10_decontamination, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_simhash, op4_repeated_substrings, op5_html_extraction, op6_sharding, op7_nearest_neighbours, op8_bpe, op9_token_files, op10_decontamination, op11_source_divergence, op12_fill_middle, op13_packing, pipeline)}
+ORACLES: dict[str, str] = {"op11_source_divergence": divergence.AUDIT_SQL, "op12_fill_middle": fill_middle.DIGEST_SQL}
