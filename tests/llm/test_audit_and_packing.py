@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardlight.llm import divergence, fill_middle, packing
@@ -90,20 +91,26 @@ def test_audit_of_nothing_and_of_huge_counts(spark):
     assert big.select(divergence._billionths("n", "total", "kept").alias("p")).first().p == want
 
 
-def test_heap_merge_sums_overlapping_chunks():
+@pytest.mark.parametrize("most", [1, 40, 10_000])
+def test_heap_merge_sums_overlapping_chunks(most):
     rng = random.Random(2)
     want, chunks = Counter(), []
     for run in range(9):
         for key in range(3):
-            entries = sorted({(f"t{rng.randrange(30):02}".encode(), f"s{rng.randrange(4)}".encode()) for _ in range(25)})
+            entries = sorted({(f"t{rng.randrange(30):02}".encode(), f"s{rng.randrange(4 if key else 40)}") for _ in range(25)})
             want.update({(key, *e): run + 1 for e in entries})
             for at in range(0, len(entries), 4):
-                part = entries[at : at + 4]
-                chunks.append((key, part[0][0], [t for t, _ in part], [s for _, s in part], [run + 1] * len(part), [1] * len(part)))
+                terms, sources = zip(*entries[at : at + 4])
+                part = pa.table({"term": pa.array(terms, pa.binary()), "source": sources, "n": [run + 1] * len(terms), "docs": [1] * len(terms)})
+                chunks.append((key, terms[0], part))
     chunks.sort(key=lambda c: c[:2])
-    merged = list(divergence.heap_merge(iter(chunks)))
-    assert [m[:3] for m in merged] == sorted(want)
-    assert {m[:3]: m[3] for m in merged} == want
+    got, ends = [], {}
+    for key, entries in divergence.heap_merge(iter(chunks), most):
+        rows = entries.to_pylist()
+        assert ends.get(key, b"") < min(r["term"] for r in rows)  # terms are whole
+        ends[key] = max(r["term"] for r in rows)
+        got += [(key, r["term"], r["source"], r["n"]) for r in rows]
+    assert len(got) == len(want) and {g[:3]: g[3] for g in got} == want
 
 
 # -- fill in the middle ------------------------------------------------------------------------

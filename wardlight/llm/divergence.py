@@ -6,9 +6,10 @@ Which words does a source use unlike its language, and how far apart are two sou
    (occurrences, documents) in memory. When `BLOCK_ENTRIES` of them are held, they are spilled as
    a run: chunks in ascending order of term, per hash shard of the term. Runs are written to the
    shared folder.
-2. A task per hash shard merges the runs with a heap of one open chunk a run. Chunks come sorted
-   by their first term, so only chunks that overlap are open. More than `FAN_IN` runs are merged
-   in several passes.
+2. A task per hash shard merges the runs. Chunks come sorted by their first term, and a heap holds
+   the open ones by their last term, so only chunks that overlap are held. All postings of a term
+   meet there, so terms in too few documents go no further. More than `FAN_IN` runs are merged in
+   several passes.
 3. Frequencies give each (language, source) group a smoothed probability per kept term. The
    distance of two groups is V times the distance of their probabilities of an unseen term, plus
    corrections: for the terms of one group, from a histogram of its probabilities; for the terms
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,9 +41,11 @@ from pyspark.sql import functions as F
 from wardlight.llm.common import materialize, small
 
 #: Block postings held by a task before a run is spilled.
-BLOCK_ENTRIES = 200_000
+BLOCK_ENTRIES = 400_000
 #: Entries of a chunk, and runs that are merged in one pass: together they bound a merge's memory.
 CHUNK_ENTRIES, FAN_IN = 512, 256
+#: Entries that a merge sums up at a time.
+MERGE_ENTRIES = 200_000
 #: Sources on each side of a tile of pairs.
 TILE = 1_024
 #: Bytes of a long text that are split into terms at a time.
@@ -50,7 +54,7 @@ SLICE_BYTES = 1 << 20
 SCALE, SMOOTHING = 1_000_000_000, 5
 
 _RUN = "shard int, run long, lang string, first string, terms array<string>, sources array<string>, counts array<long>, docs array<long>"
-_POSTING = "lang string, term string, source string, n long, docs long"
+_KEPT = "lang string, term string, source string, n long, total long"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
 
 #: A-Z to a-z, other ASCII bytes that are no letters to a space; bytes of longer characters stay.
@@ -93,47 +97,48 @@ class _Block:
         self.docs.setdefault(group, Counter()).update(new)
         self.size += len(counts) - before + (8 if not before else 0)
 
-    def run(self, shards: int) -> Iterator[tuple]:
-        """(shard, lang, term, source, occurrences, documents) in ascending order."""
-        entries = []
+    def run(self, shards: int) -> pa.Table:
+        """shard, lang, term, source, n, docs in ascending order."""
+        parts = []
         for (lang, source), counts in self.counts.items():
-            docs, source = self.docs[lang, source], source.encode()
-            entries += [(zlib.crc32(w) % shards, lang, w, source, n, docs[w]) for w, n in counts.items()]
-        entries.sort()
-        return iter(entries)
-
-
-def _chunks(entries: Iterator[tuple], run: int) -> Iterator[tuple]:
-    """Rows of `_RUN` from sorted (shard, lang, term, source, n, docs)."""
-    held: list[tuple] = []
-
-    def row():
-        _, _, terms, sources, counts, docs = zip(*held)
-        return (*held[0][:1], run, held[0][1], terms[0], terms, sources, counts, docs)
-
-    for e in entries:
-        if held and (len(held) == CHUNK_ENTRIES or e[:2] != held[0][:2]):
-            yield row()
-            held = []
-        held.append(e)
-    if held:
-        yield row()
-
-
-def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == most:
-            yield _batch(held, schema)
-            held = []
-    if held:
-        yield _batch(held, schema)
+            terms, docs = list(counts), self.docs[lang, source]
+            columns = {
+                "shard": pa.array([zlib.crc32(t) % shards for t in terms], pa.int32()),
+                "lang": pa.repeat(lang, len(terms)),
+                "term": pa.array(terms, pa.binary()),
+                "source": pa.repeat(source, len(terms)),
+                "n": pa.array(counts.values(), pa.int64()),
+                "docs": pa.array([docs[t] for t in terms], pa.int64()),
+            }
+            parts.append(pa.table(columns))
+        return pa.concat_tables(parts).sort_by([(c, "ascending") for c in ("shard", "lang", "term", "source")])
+
+
+def _chunks(entries: pa.Table, run: int) -> Iterator[pa.RecordBatch]:
+    """Rows of `_RUN` from sorted entries: stretches of one shard and language."""
+    if not entries.num_rows:
+        return
+    shard, lang = entries["shard"].to_numpy(), entries["lang"].combine_chunks().dictionary_encode()
+    key = shard.astype(np.int64) * len(lang.dictionary) + lang.indices.to_numpy()
+    turns = np.flatnonzero(np.diff(key)) + 1
+    stretches = zip([0, *turns.tolist()], [*turns.tolist(), len(key)])
+    starts = np.array([a for lo, hi in stretches for a in range(lo, hi, CHUNK_ENTRIES)])
+    ends = np.append(starts[1:], len(key))
+    terms = entries["term"].combine_chunks().cast(pa.string())
+    values = [terms, *(entries[c].combine_chunks() for c in ("source", "n", "docs"))]
+    for at in range(0, len(starts), 64):
+        a, b = starts[at : at + 64], ends[at : at + 64]
+        offsets = pa.array(np.append(a, b[-1]) - a[0], pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, v.slice(a[0], b[-1] - a[0])) for v in values]
+        first = pa.array(a)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shard[a], pa.int32()), pa.repeat(pa.scalar(run, pa.int64()), len(a)), entries["lang"].combine_chunks().take(first), terms.take(first), *lists],
+            schema=_schema(_RUN),
+        )
 
 
 def build_runs(docs: DataFrame, shards: int, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """The spilled runs of docs(text, lang, source), as a plan to be written."""
-    schema = _schema(_RUN)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, spilled, block = TaskContext.get().partitionId() << 24, 0, _Block()
@@ -145,95 +150,114 @@ def build_runs(docs: DataFrame, shards: int, block_entries: int = BLOCK_ENTRIES)
                     block.add((lang, source), words, new)
                     seen |= new
                     if block.size >= block_entries:
-                        yield from _in_batches(_chunks(block.run(shards), task + spilled), schema, 64)
+                        yield from _chunks(block.run(shards), task + spilled)
                         spilled, block = spilled + 1, _Block()
-        yield from _in_batches(_chunks(block.run(shards), task + spilled), schema, 64)
+        if block.counts:
+            yield from _chunks(block.run(shards), task + spilled)
 
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return texts.mapInArrow(index, _RUN)
 
 
-def heap_merge(chunks: Iterator[tuple]) -> Iterator[tuple]:
-    """Sum the entries of chunk rows that come sorted by (key, first term).
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """Entries of the same term and source as one."""
+    sums = pa.concat_tables(parts).group_by(["term", "source"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return sums.rename_columns(["term", "source", "n", "docs"])
+
 
-    `chunks` are (key, first, terms, sources, counts, docs); yields (key, term, source, n, docs)
-    in ascending order. The heap holds the chunks that overlap the present term.
+def heap_merge(chunks: Iterator[tuple], most: int = MERGE_ENTRIES) -> Iterator[tuple]:
+    """Merge sorted chunks (key, first term, entries), which come in order of (key, first term).
+
+    Yields (key, entries) with every term whole, terms of a later table after those of an earlier
+    one. A heap holds the chunks by their last term. Once `most` entries are held, all terms before
+    the next chunk's first one are complete: chunks that end before it leave the heap, the others
+    are cut there. A term of very many sources is summed while it waits.
     """
     heap: list[tuple] = []
-    key = last = None
+    key, held, limit = None, 0, most
 
-    def take(before):
-        """Entries of terms before `before` (all, if None)."""
+    def complete(before):
+        nonlocal heap, held, limit
+        done = []
         while heap and (before is None or heap[0][0] < before):
-            term, source, order, i, (terms, sources, counts, docs) = heap[0]
-            yield term, source, counts[i], docs[i]
-            if i + 1 < len(terms):
-                heapq.heapreplace(heap, (terms[i + 1], sources[i + 1], order, i + 1, (terms, sources, counts, docs)))
-            else:
-                heapq.heappop(heap)
-
-    def summed(entries):
-        nonlocal last
-        for term, source, n, docs in entries:
-            if last and last[1] == term and last[2] == source:
-                last[3] += n
-                last[4] += docs
-            else:
-                if last:
-                    yield tuple(last)
-                last = [key, term, source, n, docs]
-
-    for order, (k, first, *lists) in enumerate(chunks):
-        yield from summed(take(first if k == key else None))
-        if k != key:
-            if last:
-                yield tuple(last)
-            key, last = k, None
-        heapq.heappush(heap, (lists[0][0], lists[1][0], order, 0, tuple(lists)))
-    yield from summed(take(None))
-    if last:
-        yield tuple(last)
-
-
-def _rows(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple]:
-    """Chunk rows of Arrow batches, with terms and sources as bytes."""
-    for batch in small(batches, 16):
+            done.append(heapq.heappop(heap)[2])
+        waiting = []
+        for last, order, entries in heap:  # these reach up to `before` or beyond
+            cut = pc.sum(pc.less(entries["term"], pa.scalar(before, pa.binary()))).as_py() or 0
+            if cut:
+                done.append(entries.slice(0, cut))
+            waiting.append((last, order, entries.slice(cut)))
+        held = sum(e.num_rows for *_, e in waiting)
+        if held >= most and not done:  # one term
+            rest = _summed([e for *_, e in waiting]).sort_by([("term", "ascending")])
+            waiting, held = [(rest["term"][-1].as_py(), waiting[0][1], rest)], rest.num_rows
+        heap = waiting
+        heapq.heapify(heap)
+        limit = max(most, 2 * held)
+        return _summed(done) if done else None
+
+    for order, (k, first, entries) in enumerate(chunks):
+        if heap and (k != key or held >= limit):
+            merged = complete(first if k == key else None)
+            if merged is not None:
+                yield key, merged
+        key = k
+        heapq.heappush(heap, (entries["term"][-1].as_py(), order, entries))
+        held += entries.num_rows
+    if heap:
+        yield key, complete(None)
+
+
+def _opened(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple]:
+    """Chunk rows as (key, first term, entries)."""
+    for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in key))
-        lists = [batch.column(c).cast(pa.list_(pa.binary())).to_pylist() for c in ("terms", "sources")]
-        lists += [batch.column(c).to_pylist() for c in ("counts", "docs")]
-        yield from zip(keys, batch.column("first").cast(pa.binary()).to_pylist(), *lists)
+        firsts = batch.column("first").cast(pa.binary()).to_pylist()
+        lists = [batch.column(c) for c in ("terms", "sources", "counts", "docs")]
+        for i, (k, first) in enumerate(zip(keys, firsts)):
+            terms, *others = (column[i].values for column in lists)
+            yield k, first, pa.table([terms.cast(pa.binary()), *others], names=["term", "source", "n", "docs"])
+
 
+def _kept_terms(entries: pa.Table, min_docs: int) -> pa.Table:
+    """Entries of terms that stand in enough documents, with the term's occurrences in all sources."""
+    terms = entries["term"].combine_chunks().dictionary_encode()
+    at = terms.indices.to_numpy()
+    docs, total = np.zeros((2, len(terms.dictionary)), np.int64)
+    np.add.at(docs, at, entries["docs"].to_numpy())
+    np.add.at(total, at, entries["n"].to_numpy())
+    return entries.drop_columns(["docs"]).append_column("total", pa.array(total[at])).filter(pa.array(docs[at] >= min_docs))
 
-def merge_runs(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """lang, term, source, n, docs of all runs, as a plan to be written."""
-    run_schema, posting_schema = _schema(_RUN), _schema(_POSTING)
+
+def merge_runs(runs: DataFrame, min_docs: int, fan_in: int = FAN_IN) -> DataFrame:
+    """lang, term, source, n, total of terms in at least `min_docs` documents of their language.
+
+    A plan to be written. More than `fan_in` runs are first merged into fewer.
+    """
     left = runs.select("run").distinct().count()
     while left > fan_in:
         groups = -(-left // fan_in)
 
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            merged = heap_merge(_rows(batches, ["shard", "lang", "set"]))
-            held: list[tuple] = []
-            at = None
-            for (shard, lang, number), *entry in merged:
-                if held and (number != at or len(held) == CHUNK_ENTRIES * 64):
-                    yield from _in_batches(_chunks(iter(held), at), run_schema, 64)
-                    held = []
-                at = number
-                held.append((shard, lang, *entry))
-            if held:
-                yield from _in_batches(_chunks(iter(held), at), run_schema, 64)
+            for (shard, lang, number), entries in heap_merge(_opened(batches, ["shard", "lang", "set"])):
+                entries = entries.sort_by([("term", "ascending"), ("source", "ascending")])
+                n = entries.num_rows
+                entries = entries.append_column("shard", pa.repeat(pa.scalar(shard, pa.int32()), n)).append_column("lang", pa.repeat(lang, n))
+                yield from _chunks(entries, number)
 
         grouped = runs.withColumn("set", F.pmod(F.xxhash64("run"), F.lit(groups)))
         sorted_chunks = grouped.repartition("shard", "set").sortWithinPartitions("shard", "lang", "set", "first")
         runs = materialize(sorted_chunks.mapInArrow(again, _RUN), "runs")
-        left = groups if groups < left else fan_in
+        left = groups
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = heap_merge(_rows(batches, ["shard", "lang"]))
-        yield from _in_batches(((key[1], *entry) for key, *entry in merged), posting_schema, 10_000)
+        schema = _schema(_KEPT)
+        for (_, lang), entries in heap_merge(_opened(batches, ["shard", "lang"])):
+            kept = _kept_terms(entries, min_docs)
+            kept = kept.append_column("lang", pa.repeat(lang, kept.num_rows)).select(schema.names)
+            yield from kept.cast(schema).combine_chunks().to_batches()
 
-    return runs.repartition("shard").sortWithinPartitions("shard", "lang", "first").mapInArrow(final, _POSTING)
+    return runs.repartition("shard").sortWithinPartitions("shard", "lang", "first").mapInArrow(final, _KEPT)
 
 
 def _billionths(n: str, total: str, kept: str) -> Column:
@@ -383,12 +407,9 @@ def audit(
     """lang, source, part (`pair` or `term`), item, value, rank; see the module's docstring."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = materialize(build_runs(docs, shards, block_entries), "runs")
-    postings = materialize(merge_runs(runs, fan_in), "postings")
+    counted = materialize(merge_runs(runs, min_docs, fan_in), "counted")
 
-    totals = postings.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"))
-    kept = materialize(totals.filter(F.col("docs") >= min_docs).drop("docs"), "kept")
-    counted = materialize(postings.drop("docs").join(kept, ["lang", "term"]), "counted")
-    per_lang = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_n"))
+    per_lang = counted.select("lang", "term", "total").distinct().groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_n"))
     per_group = counted.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = named.join(per_group, ["lang", "source"], "left").join(per_lang, "lang", "left").fillna(0, ["group_n", "kept", "lang_n"])

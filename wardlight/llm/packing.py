@@ -2,15 +2,16 @@
 
 1. Documents are encoded and get an end id. Only those longer than a sequence are cut: the first
    piece takes the rest, the others fill a sequence each.
-2. Pieces are dealt at random over parts of about `PART_PIECES` rows. Each part is packed by
-   best-fit decreasing; dual feasible functions over its lengths give a lower bound of the
-   sequences it needs, which certifies its count where both agree.
+2. Pieces are dealt in turn, in order of their length, over parts of about `PART_PIECES` rows, so
+   that every part gets the same mix. Each part is packed by best-fit decreasing; dual feasible
+   functions over its lengths give a lower bound of the sequences it needs, which certifies its
+   count where both agree.
 3. Full sequences are done. A part that is certified and has less than one sequence of room left
    gives up its emptiest sequence only, other parts all their sequences with gaps: these pieces
    are dealt anew, to fewer parts, and packed again, as long as that saves sequences. It ends,
    too, once the total meets the bound over all lengths, which is then the least possible.
 
-A part is bounded by its hash of a row number, never by a key of the data. The driver sees
+The size of a part follows from dealing in turn, never from a key of the data. The driver sees
 counts per length (one row per length of a sequence) and totals per round.
 
 Defined results: a null text is the empty text and holds the end id only. Rows of null or
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def encode_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFra
 
 
 def _pack_parts(pieces: DataFrame, parts: int, size: int, round_: int) -> DataFrame:
-    """Pack each part of pieces(..., key); sequence numbers are unique over rounds and parts."""
+    """Deal and pack pieces(..., key); sequence numbers are unique over rounds and parts."""
 
     def pack(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -130,8 +132,16 @@ def _pack_parts(pieces: DataFrame, parts: int, size: int, round_: int) -> DataFr
             out = out.append_column(name, pa.array(values))
         return out
 
-    part = F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(parts)).cast("long")
-    return pieces.withColumn("part", part).groupBy("part").applyInArrow(pack, _PLACED)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = zlib.crc32(f"{round_}:{TaskContext.get().partitionId()}".encode())
+        for batch in batches:
+            part = (np.arange(turn, turn + batch.num_rows) % parts).astype(np.int64)
+            turn += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=[*batch.schema.names, "part"])
+
+    order = ["length", F.xxhash64("key", F.lit(round_)), "key"]
+    by_length = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    return by_length.mapInArrow(deal, f"{_PIECE}, key long, part long").groupBy("part").applyInArrow(pack, _PLACED)
 
 
 def pack_pieces(pieces: DataFrame, size: int, part_pieces: int = PART_PIECES) -> DataFrame:
