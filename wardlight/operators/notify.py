@@ -200,7 +200,7 @@ def apply_outcomes(q: DataFrame, results: DataFrame, now) -> tuple[DataFrame, Da
 
     Sent rows are done; failed ones go back to the queue until `attempts + 1` reaches the
     limit. Results have one row per queue id; rows without a result stay as they are. Errors
-    are kept whole.
+    are kept whole, in the log as JSON. The log has the recipient and subject that `q` names.
     """
     moment = as_of_ts(now)
     given = results.select("queue_id", "ok", "error", F.lit(True).alias("_tried"))
@@ -221,15 +221,16 @@ def apply_outcomes(q: DataFrame, results: DataFrame, now) -> tuple[DataFrame, Da
             "last_error": new("last_error", F.when(~F.col("ok"), error)),
         }
     )
-    quoted = F.concat(F.lit('{"error":"'), F.replace("error", F.lit('"'), F.lit("'")), F.lit('"}'))
+    given_error = F.col("error").isNotNull() & (F.col("error") != "")
     log = joined.select(
         "queue_id",
         "user_id",
         "request_id",
         "template_key",
+        *(F.col(c) if c in q.columns else F.lit(None).cast("string").alias(c) for c in ("recipient", "subject")),
         F.when(F.col("ok"), "sent").otherwise("failed").alias("delivery_status"),
         moment.alias("event_at"),
-        F.when(~F.col("ok"), quoted).alias("metadata_json"),
+        F.when(~F.col("ok") & given_error, F.to_json(F.struct("error"))).alias("metadata_json"),
     )
     return state.drop("ok", "error", "_tried"), log
 

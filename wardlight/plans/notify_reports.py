@@ -160,7 +160,7 @@ def n07(r):
     return N.render(context(r), templates, CONTEXT).select("event_id", "subject", "html")
 
 
-OUTCOMES = """res AS (SELECT event_id AS queue_id, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 'mail "box" full' END AS error,
+OUTCOMES = """res AS (SELECT event_id AS queue_id, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 'mail "box" \\ full' || chr(10) || 'x' END AS error,
           event_id % 6 AS attempts, 5 AS max_attempts, user_id FROM events)"""
 
 
@@ -172,10 +172,12 @@ def _outcomes(r):
         F.lit("complaint_received").alias("template_key"),
         (F.col("event_id") % 6).alias("attempts"),
         F.lit(5).alias("max_attempts"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.org")).alias("recipient"),
+        F.concat(F.lit("About "), F.col("event_id").cast("string")).alias("subject"),
     )
     failed = F.col("event_type") == "error"
     results = r.t["events"].select(
-        F.col("event_id").alias("queue_id"), (~failed).alias("ok"), F.when(failed, 'mail "box" full').alias("error")
+        F.col("event_id").alias("queue_id"), (~failed).alias("ok"), F.when(failed, F.lit('mail "box" \\ full\nx')).alias("error")
     )
     return N.apply_outcomes(q, results, NOW)
 
@@ -192,10 +194,11 @@ def n08(r):
 @query(
     "n08_delivery_log",
     f"""WITH {OUTCOMES} SELECT queue_id, CASE WHEN ok THEN 'sent' ELSE 'failed' END AS delivery_status, {S_NOW} AS event_at,
-      CASE WHEN NOT ok THEN '{{"error":"mail ''box'' full"}}' END AS metadata_json FROM res""",
+      'u' || user_id || '@example.org' AS recipient, 'About ' || queue_id AS subject,
+      CASE WHEN NOT ok THEN '{{"error":"mail \\"box\\" \\\\ full\\nx"}}' END AS metadata_json FROM res""",
 )
 def n08_log(r):
-    return _outcomes(r)[1].select("queue_id", "delivery_status", "event_at", "metadata_json")
+    return _outcomes(r)[1].select("queue_id", "delivery_status", "event_at", "recipient", "subject", "metadata_json")
 
 
 @query(

@@ -10,17 +10,34 @@ from wardlight.plans.registry import query
 from wardlight.plans.sql import with_views
 from wardlight.session import scratch_dir
 from wardlight.sources import schemas
+from wardlight.sources.store import KeyedTable
 from wardlight.streaming import jobs as X
+from wardlight.streaming.audit import StatusAudit
+from wardlight.streaming.worker import QueueWorker
 
 MAX_TS = "(SELECT max(ts) FROM events)"
 
 
+def _in_slices(r, rows, ts: str, slices: int, jitter_min: int, path: str) -> None:
+    """Write rows as files in order of time, but up to `jitter_min` minutes out of order."""
+    shuffled = F.unix_seconds(F.col(ts).cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(jitter_min * 60))
+    first, last = rows.agg(F.min(shuffled), F.max(shuffled)).first()
+    place = F.floor((shuffled - first) * slices / max(1, last - first + 1))
+    for k in range(slices):
+        rows.filter(place == k).coalesce(2).write.mode("append").parquet(path)
+
+
 @query("x01_status_audit", with_views("sev", f"SELECT request_id, event_id, old_status, new_status, event_at FROM ({TRANSITIONS})"))
 def x01(r):
-    events = X.event_stream(r.spark, r.path).select(
-        F.col("user_id").alias("request_id"), "event_id", F.col("event_type").alias("new_status"), F.col("ts").alias("event_at")
-    )
-    return X.run_to_table(X.stream_status_audit(events), "x01")
+    """Events come in several files and micro-batches, up to an hour out of order."""
+    source = scratch_dir(r.spark, "x01-events")
+    events = r.status_events()
+    _in_slices(r, events, "event_at", 4, 60, source)
+    audit = StatusAudit(r.spark, scratch_dir(r.spark, "x01"), 3600, buckets=8)
+    stream = X.read_stream(r.spark, source, events.schema, 2)
+    audit.run(stream, scratch_dir(r.spark, "x01-checkpoint")).awaitTermination()
+    audit.flush()
+    return audit.transitions()
 
 
 SLA_HOURS = "CASE least(CAST(substr(o_orderpriority, 1, 1) AS INT), 4) WHEN 1 THEN 4380 WHEN 2 THEN 8760 WHEN 3 THEN 17520 ELSE 26280 END"
@@ -32,8 +49,8 @@ SLA_HOURS = "CASE least(CAST(substr(o_orderpriority, 1, 1) AS INT), 4) WHEN 1 TH
       FROM (SELECT *, {SLA_HOURS} AS sla_hours FROM orders) o
       WHERE o_orderdate + to_hours(sla_hours) < least((SELECT max(l_shipdate) FROM lineitem),
           (SELECT max(o_orderdate + to_hours({SLA_HOURS})) FROM orders)) - INTERVAL 1 HOUR
-      AND NOT (o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate
-        AND l_shipdate <= o_orderdate + to_hours(sla_hours)))""",
+      AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F' AND l_shipdate > o_orderdate
+        AND l_shipdate <= o_orderdate + to_hours(sla_hours))""",
 )
 def x02(r):
     orders = X.read_stream(r.spark, f"{r.path}/orders.parquet", schemas.RAW["orders"])
@@ -42,9 +59,8 @@ def x02(r):
         F.col("o_orderkey").alias("request_id"),
         F.col("o_orderdate").cast("timestamp").alias("submitted_at"),
         F.expr(SLA_HOURS).alias("sla_hours"),
-        (F.col("o_orderstatus") == "F").alias("may_resolve"),
     )
-    resolved = lines.select(F.col("l_orderkey").alias("request_id"), F.col("l_shipdate").cast("timestamp").alias("resolved_at"))
+    resolved = lines.filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("request_id"), F.col("l_shipdate").cast("timestamp").alias("resolved_at"))
     return X.run_to_table(X.stream_sla(submitted, resolved, 26280), "x02")
 
 
@@ -77,27 +93,52 @@ QUEUE_SCHEMA = schemas.fields(
 )
 
 
+# The mail server of x05: every tenth message never arrives, and every third try of the others fails.
+FAILS = "queue_id % 10 = 0 OR (queue_id + attempt) % 3 = 0"
+
+
+def _mail_server(messages):
+    error = F.concat(F.lit('421 "busy"\\try '), F.col("attempt").cast("string"), F.lit("\n"))
+    return messages.select("queue_id", (~F.expr(FAILS)).alias("ok"), F.when(F.expr(FAILS), error).alias("error"))
+
+
 @query(
     "x05_notifications",
     with_views(
         NR.VIEWS,
-        f"""WITH {NR.EV}, {NR.S_AT}, {NR.RECIPIENT} SELECT queue_id, status, recipient, last_error,
-        CASE template_key WHEN 'complaint_received' THEN 'Complaint Received - ' WHEN 'complaint_assigned' THEN 'Your complaint is now being handled - '
-          WHEN 'complaint_in_progress' THEN 'Work started on your complaint - ' ELSE 'Complaint resolved - ' END || request_id AS subject FROM rec""",
+        f"""WITH {NR.EV}, {NR.S_AT}, {NR.RECIPIENT},
+        j AS (SELECT *, scheduled_at > {NR.S_NOW} AS later, request_id % 13 = 0 AS gone, queue_id % 10 = 0 AS dead FROM rec),
+        k AS (SELECT *, NOT later AND NOT gone AND status = 'processing' AS tried FROM j),
+        n AS (SELECT *, CASE WHEN NOT tried THEN 0 WHEN dead THEN 5 WHEN (queue_id + 1) % 3 = 0 THEN 2 ELSE 1 END AS tries FROM k)
+        SELECT queue_id, CASE WHEN later THEN 'queued' WHEN gone THEN 'failed' WHEN NOT tried THEN status WHEN dead THEN 'failed' ELSE 'sent' END AS status,
+        CAST(CASE WHEN later THEN 0 WHEN tried THEN tries ELSE 1 END AS INTEGER) AS attempts,
+        CASE WHEN later THEN NULL WHEN gone THEN 'Complaint not found' WHEN NOT tried THEN last_error WHEN dead THEN '421 "busy"\\try 5' || chr(10) END AS last_error,
+        CAST(tries AS BIGINT) AS tries, CAST(CASE WHEN tried AND NOT dead THEN tries - 1 ELSE tries END AS BIGINT) AS failed_tries,
+        CASE WHEN tried THEN recipient END AS recipient, CASE WHEN tried THEN
+          CASE template_key WHEN 'complaint_received' THEN 'Complaint Received - ' WHEN 'complaint_assigned' THEN 'Your complaint is now being handled - '
+          WHEN 'complaint_in_progress' THEN 'Work started on your complaint - ' ELSE 'Complaint resolved - ' END || code END AS subject,
+        CASE WHEN failed_tries > 0 THEN '421 "busy"\\try ' || failed_tries || chr(10) END AS told FROM n LEFT JOIN (SELECT request_id AS rid, code FROM req) q ON rid = request_id""",
     ),
 )
 def x05(r):
-    """The queue is written as a table and then worked off as a stream."""
-    source, out = scratch_dir(r.spark, "x05-queue"), scratch_dir(r.spark, "x05-deliveries")
-    NR.queue(r).write.parquet(source)
-    stream = X.read_stream(r.spark, source, QUEUE_SCHEMA, 1000)
+    """The queue comes as a stream and is worked off; the last failed try is read from the log's JSON."""
+    source = scratch_dir(r.spark, "x05-queue")
+    NR.queue(r).repartition(3).write.parquet(source)
+    stream = X.read_stream(r.spark, source, QUEUE_SCHEMA, 2)
     templates = r.values([("none", "", "", 0)], "template_key, subject_template, html_template, is_active")
-    context = {"complaint_code": "request_id"}
-    worker = X.stream_notifications(
-        stream, r.preferences(), r.usr, templates, context, out, scratch_dir(r.spark, "x05-checkpoint")
+    facts = r.requests(resolved=False).filter("request_id % 13 <> 0").select("request_id", "code")
+    worker = QueueWorker(
+        r.spark, scratch_dir(r.spark, "x05"), _mail_server, r.preferences(), r.usr, templates, facts, {"complaint_code": "code"}, buckets=8
+    )
+    worker.run(stream, scratch_dir(r.spark, "x05-checkpoint"), lambda: NR.NOW).awaitTermination()
+    worker.work_off(NR.NOW)
+    failed = F.col("delivery_status") == "failed"
+    told = F.max(F.get_json_object("metadata_json", "$.error")).alias("told")
+    tries = worker.log().groupBy("queue_id").agg(
+        F.count("*").alias("tries"), F.count_if(failed).alias("failed_tries"), F.max("recipient").alias("recipient"), F.max("subject").alias("subject"), told
     )
-    worker.awaitTermination()
-    return r.spark.read.parquet(out).select("queue_id", "status", "recipient", "last_error", "subject")
+    zero = {"tries": 0, "failed_tries": 0}
+    return worker.queue().select("queue_id", "status", "attempts", "last_error").join(tries, "queue_id", "left").fillna(zero)
 
 
 @query(
@@ -124,8 +165,15 @@ def x07(r):
 
 @query(
     "x08_merge_lww",
-    "SELECT user_id, event_type AS field, arg_max(value, event_id) AS value, max(ts) AS ts FROM events GROUP BY ALL",
+    "SELECT user_id, event_type AS field, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY ALL",
 )
 def x08(r):
+    """Edits come as a stream of files, the newest first, so most of them are late."""
+    source = scratch_dir(r.spark, "x08-edits")
     edits = r.t["events"].select("user_id", F.col("event_type").alias("field"), "value", "ts", "event_id")
-    return X.merge_lww(edits, ["user_id", "field"], "value", "ts", "event_id")
+    middle = edits.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    edits.filter(F.col("event_id") > middle).coalesce(2).write.mode("append").parquet(source)
+    edits.filter(F.col("event_id") <= middle).coalesce(2).write.mode("append").parquet(source)
+    table = KeyedTable(r.spark, scratch_dir(r.spark, "x08"), edits.schema, ["user_id", "field"], ["ts", "event_id"], buckets=8)
+    X.stream_merge(X.read_stream(r.spark, source, edits.schema, 1), table, scratch_dir(r.spark, "x08-checkpoint")).awaitTermination()
+    return table.read().drop("event_id")

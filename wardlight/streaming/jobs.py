@@ -1,33 +1,32 @@
 """Continuous versions of the lifecycle rules, as Structured Streaming plans.
 
-Every function takes a streaming DataFrame (a batch one works too where no state function is
-involved) and returns one; `run_to_table` drives it with exactly-once file output.
-Event-time columns must be TIMESTAMP, not TIMESTAMP_NTZ.
+Every function takes a streaming DataFrame (a batch one works too) and returns one;
+`run_to_table` drives it with exactly-once file output. Event-time columns must be TIMESTAMP, not
+TIMESTAMP_NTZ. Jobs that keep tables of their own are in `audit` (X01) and `worker` (X05).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardlight.functions.measures import count_where, is_done, n_rows, status_is
-from wardlight.operators import notify as N
 from wardlight.session import scratch_dir
 from wardlight.sources import schemas
+from wardlight.sources.store import KeyedTable
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     """A file stream; the trigger cap bounds how much one micro-batch takes in.
 
-    The trailing `*` makes the path a glob, which a stream needs to read a single file and
-    which matches a folder of the same name just as well.
+    The last character is put in brackets, which makes the path a glob that matches this name
+    only: a stream needs one to read a single file, and a folder is found just as well.
     """
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    path = path.rstrip("/")
+    glob = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(glob)
 
 
 @contextmanager
@@ -65,57 +64,16 @@ def run_to_table(
     return spark.read.schema(stream.schema).parquet(path)
 
 
-# -- X01 status audit -------------------------------------------------------------
-
-AUDIT_SCHEMA = "request_id long, event_id long, old_status string, new_status string, event_at timestamp"
-
-
-def _audit(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Transitions of one request in one micro-batch; state is its last (time, id, status)."""
-    rows = pd.concat(chunks, ignore_index=True).sort_values(["event_at", "event_id"], kind="stable")
-    if state.exists:
-        at, event_id, status = state.get
-        seen = (rows["event_at"] < at) | ((rows["event_at"] == at) & (rows["event_id"] <= event_id))
-        rows = rows[~seen]
-    else:
-        status = None
-    if rows.empty:
-        return
-    before = rows["new_status"].shift(1)
-    before.iloc[0] = status
-    last = rows.iloc[-1]
-    state.update((last["event_at"].to_pydatetime(), int(last["event_id"]), last["new_status"]))
-    changed = rows.assign(old_status=before)[before.notna() & (before != rows["new_status"])]
-    if not changed.empty:
-        yield changed[["request_id", "event_id", "old_status", "new_status", "event_at"]]
-
-
-def stream_status_audit(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Status changes per request as they arrive.
-
-    A request's events are ordered inside each micro-batch; events older than the last one
-    already audited are skipped. State is one short tuple per request.
-    """
-    keyed = events.withWatermark("event_at", delay).select("request_id", "event_id", "new_status", "event_at")
-    return keyed.groupBy("request_id").applyInPandasWithState(
-        _audit,
-        AUDIT_SCHEMA,
-        "event_at timestamp, event_id long, status string",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 # -- X02 SLA breaches -------------------------------------------------------------
 
 
 def stream_sla(submitted: DataFrame, resolved: DataFrame, max_sla_hours: int, delay: str = "1 hour") -> DataFrame:
     """Requests whose SLA ran out unresolved, emitted once the watermark passes the deadline.
 
-    `submitted` has request_id, submitted_at, sla_hours and may_resolve; `resolved` has
-    request_id and resolved_at. A left outer stream join keeps a request until its deadline
-    and lets only the unanswered ones out, all on the JVM. `may_resolve` is tested together
-    with the answer: a condition on the request alone would let it out before its deadline.
+    `submitted` has request_id, submitted_at and sla_hours, which are known at submission;
+    `resolved` has the request_id and time of each event that resolves a request. A left outer
+    stream join keeps a request until its deadline, like a timer that an event cancels, and lets
+    only the unanswered ones out, all on the JVM. A resolution at the deadline is in time.
     """
     hours = F.make_dt_interval(F.lit(0), F.col("sla_hours"))
     due = submitted.withColumn("deadline", F.col("submitted_at") + hours).withWatermark("deadline", delay)
@@ -125,7 +83,6 @@ def stream_sla(submitted: DataFrame, resolved: DataFrame, max_sla_hours: int, de
         & (F.col("resolved_at") <= F.col("deadline"))
         & (F.col("resolved_at") >= F.col("deadline") - F.expr(f"INTERVAL {int(max_sla_hours)} HOUR"))
         & (F.col("resolved_at") > F.col("submitted_at"))
-        & F.when(F.col("may_resolve"), F.col("resolved_at")).isNotNull()
     )
     unanswered = due.join(answers, in_time, "leftOuter").filter(F.col("_id").isNull())
     return unanswered.select("request_id", "submitted_at", "sla_hours", "deadline")
@@ -170,7 +127,7 @@ def stream_presence(heartbeats: DataFrame, ts: str, gap: str = "2 minutes", dela
     return sessions.select("user_id", F.col("s.start").alias("session_start"), "last_seen", "heartbeats")
 
 
-# -- X05, X06 notifications -------------------------------------------------------
+# -- X06 notifications -------------------------------------------------------
 
 
 def stream_enqueue(queue_rows: DataFrame, ts: str = "scheduled_at", delay: str = "1 day") -> DataFrame:
@@ -178,27 +135,6 @@ def stream_enqueue(queue_rows: DataFrame, ts: str = "scheduled_at", delay: str =
     return queue_rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
-def stream_notifications(queue: DataFrame, prefs: DataFrame, usr: DataFrame, templates: DataFrame, context: dict, path: str, checkpoint: str):
-    """The queue worker: each micro-batch resolves recipients, renders, and writes deliveries.
-
-    A batch is written to its own folder and overwritten if it is retried, so a failure
-    never sends a batch twice into the table. Rows that cannot be sent are kept with their
-    reason. Set-based throughout: one batch is one Spark job, not a loop over rows.
-    """
-
-    def deliver(batch: DataFrame, batch_id: int) -> None:
-        addressed = N.resolve_recipients(batch, prefs, usr)
-        rendered = N.render(addressed, templates, context, batch.sparkSession)
-        rendered.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return (
-        queue.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(deliver)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 # -- X08 field merge --------------------------------------------------------------
 
 
@@ -208,6 +144,17 @@ def merge_lww(edits: DataFrame, keys: list[str], value: str, ts: str, tiebreak:
     return edits.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(ts).alias(ts))
 
 
+def stream_merge(edits: DataFrame, table: KeyedTable, checkpoint: str, **trigger):
+    """Merge a stream of edits into a keyed table as they come; returns the started query.
+
+    The table's order decides, not the time of arrival: an edit older than the stored one loses,
+    however late it comes. Micro-batches write only the buckets they touch, and one that is
+    delivered again changes nothing.
+    """
+    writer = edits.writeStream.option("checkpointLocation", checkpoint).foreachBatch(table.upsert)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream with a zoned event time."""
     raw = read_stream(spark, f"{sf_dir}/events.parquet", schemas.RAW["events"])
