@@ -81,37 +81,50 @@ def term_slices(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+#: A posting counts occurrences in its low bits and documents above them.
+_DOC = 1 << 40
+
+
 class _Block:
     """Postings of the documents a task has read since its last spill."""
 
     def __init__(self):
-        self.counts: dict[tuple[str, str], Counter] = {}
-        self.docs: dict[tuple[str, str], Counter] = {}
+        self.groups: dict[tuple[str, str], dict[bytes, int]] = {}
         self.size = 0
 
-    def add(self, group: tuple[str, str], words: list[bytes], new: set[bytes]) -> None:
-        """Count `words`; `new` are those that the document did not hold before."""
-        counts = self.counts.setdefault(group, Counter())
-        before = len(counts)
-        counts.update(words)
-        self.docs.setdefault(group, Counter()).update(new)
-        self.size += len(counts) - before + (8 if not before else 0)
+    def add(self, group: tuple[str, str], words: list[bytes], seen: set[bytes] | None) -> None:
+        """Count `words`; the document held `seen` before."""
+        held = self.groups.setdefault(group, {})
+        before, get = len(held), held.get
+        for word, n in Counter(words).items():
+            held[word] = get(word, 0) + n + (_DOC if not seen or word not in seen else 0)
+        self.size += len(held) - before + (8 if not before else 0)
 
     def run(self, shards: int) -> pa.Table:
         """shard, lang, term, source, n, docs in ascending order."""
-        parts = []
-        for (lang, source), counts in self.counts.items():
-            terms, docs = list(counts), self.docs[lang, source]
-            columns = {
-                "shard": pa.array([zlib.crc32(t) % shards for t in terms], pa.int32()),
-                "lang": pa.repeat(lang, len(terms)),
-                "term": pa.array(terms, pa.binary()),
-                "source": pa.repeat(source, len(terms)),
-                "n": pa.array(counts.values(), pa.int64()),
-                "docs": pa.array([docs[t] for t in terms], pa.int64()),
-            }
-            parts.append(pa.table(columns))
-        return pa.concat_tables(parts).sort_by([(c, "ascending") for c in ("shard", "lang", "term", "source")])
+        groups = sorted(self.groups)
+        sizes = [len(self.groups[g]) for g in groups]
+        terms = pa.array([t for g in groups for t in self.groups[g]], pa.binary()).dictionary_encode()
+        order = pc.sort_indices(terms.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        shard = np.array([zlib.crc32(t) % shards for t in terms.dictionary.to_pylist()], np.int64)
+        at = terms.indices.to_numpy()
+        place = np.repeat(np.arange(len(groups)), sizes)
+        langs = sorted({lang for lang, _ in groups})
+        lang = np.array([langs.index(g[0]) for g in groups])[place]
+        by = np.lexsort((place, rank[at], lang, shard[at]))  # groups of a language come in order of their source
+        at, place, lang = at[by], place[by], lang[by]
+        packed = np.fromiter((v for g in groups for v in self.groups[g].values()), np.int64, len(by))[by]
+        columns = {
+            "shard": pa.array(shard[at].astype(np.int32)),
+            "lang": pa.array(langs, pa.string()).take(pa.array(lang)),
+            "term": terms.dictionary.take(pa.array(at)),
+            "source": pa.array([g[1] for g in groups], pa.string()).take(pa.array(place)),
+            "n": pa.array(packed % _DOC),
+            "docs": pa.array(packed // _DOC),
+        }
+        return pa.table(columns)
 
 
 def _chunks(entries: pa.Table, run: int) -> Iterator[pa.RecordBatch]:
@@ -144,15 +157,15 @@ def build_runs(docs: DataFrame, shards: int, block_entries: int = BLOCK_ENTRIES)
         task, spilled, block = TaskContext.get().partitionId() << 24, 0, _Block()
         for batch in small(batches):
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                seen: set[bytes] = set()
+                seen = None if len(text) <= SLICE_BYTES else set()
                 for words in term_slices(text):
-                    new = set(words) - seen
-                    block.add((lang, source), words, new)
-                    seen |= new
+                    block.add((lang, source), words, seen)
+                    if seen is not None:
+                        seen.update(words)
                     if block.size >= block_entries:
                         yield from _chunks(block.run(shards), task + spilled)
                         spilled, block = spilled + 1, _Block()
-        if block.counts:
+        if block.groups:
             yield from _chunks(block.run(shards), task + spilled)
 
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
