@@ -9,6 +9,7 @@ from wardlight.operators import lifecycle as L
 from wardlight.operators import quality as D
 from wardlight.operators import requests as Q
 from wardlight.operators import windows as W
+from wardlight.operators.similar import similar_requests
 from wardlight.plans.registry import query
 from wardlight.plans.request_reports import FEEDBACK_LIMITS
 from wardlight.plans.roles import REQ_AS_OF
@@ -390,6 +391,22 @@ def q43(r):
     return C.duplicate_requests(r.docs, "doc_id", "text", ["lang"])
 
 
+@query(
+    "q43_similar_requests",
+    r"""WITH RECURSIVE k AS (SELECT doc_id, lang, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS words
+          FROM documents),
+        s AS (SELECT *, len(words) AS n FROM k WHERE len(words) > 0),
+        e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.lang IS NOT DISTINCT FROM b.lang AND a.doc_id <> b.doc_id
+          AND b.n * 100 >= a.n * 80 AND a.n * 100 >= b.n * 80
+          WHERE len(list_intersect(a.words, b.words)) * 100 >= (a.n + b.n - len(list_intersect(a.words, b.words))) * 80),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+        g AS (SELECT x, min(y) AS group_id, count(*) AS members FROM reach GROUP BY x HAVING count(*) > 1)
+        SELECT doc_id, lang, group_id, members FROM g JOIN s ON s.doc_id = g.x""",
+)
+def q43_similar(r):
+    return similar_requests(r.docs, "doc_id", "text", ["lang"])
+
+
 @query(
     "q44_badges",
     with_views(
