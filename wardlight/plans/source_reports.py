@@ -7,14 +7,14 @@ from pyspark.sql import types as T
 
 from wardlight.functions import columns as X
 from wardlight.operators import requests as Q
-from wardlight.operators.intake import submit_requests
+from wardlight.operators.intake import Intake, submit_requests
 from wardlight.plans.forecast_reports import ETA_SQL
 from wardlight.plans.lifecycle_reports import HISTORY
 from wardlight.plans.registry import query
 from wardlight.plans.request_reports import DETAIL, FEEDBACK_LIMITS
 from wardlight.plans.roles import REQ_AS_OF
 from wardlight.plans.sql import with_views
-from wardlight.session import scratch_dir
+from wardlight.session import materialize, scratch_dir
 from wardlight.sources import tables as S
 from wardlight.sql_functions import register_functions
 
@@ -273,30 +273,78 @@ def r01(r):
 INTAKE_WORDS = {"critical": ["machin"], "high": ["build"], "medium": ["furn"]}
 
 
+def _submitted(r):
+    """Raw requests that come over two days, many at the same hour."""
+    at = F.lit(REQ_AS_OF).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("user_id") % 40).cast("int"))
+    return _raw_requests(r).withColumns({"raw_id": F.col("user_id"), "submitted_at": at})
+
+
+SUBMITTED = f"""{RAW_REQ}, ok AS (SELECT r.user_id, c.cat_id, c.dept_id, r.location_id, c.default_priority_id AS base, description,
+          {{R_NOW}} + to_hours(CAST(r.user_id % 40 AS INTEGER)) AS submitted_at
+          FROM raw r JOIN cat c ON try_cast(r.cat_id AS INTEGER) = c.cat_id WHERE description IS NOT NULL),
+        num AS (SELECT *, (SELECT count(*) FROM orders) + row_number() OVER (ORDER BY submitted_at, user_id) AS request_id FROM ok),
+        line AS (SELECT cat_id, location_id, submitted_at, 0 AS k FROM req UNION ALL SELECT cat_id, location_id, submitted_at, user_id FROM ok),
+        freq AS (SELECT n.user_id, count(l.k) AS frequency_30d FROM num n LEFT JOIN line l ON l.cat_id = n.cat_id AND l.location_id = n.location_id
+          AND l.submitted_at >= n.submitted_at - INTERVAL 30 DAY AND (l.submitted_at < n.submitted_at OR l.submitted_at = n.submitted_at AND l.k < n.user_id)
+          GROUP BY n.user_id),
+        s AS (SELECT n.*, frequency_30d, CASE WHEN description = 'MACHINERY' THEN 'critical' WHEN description = 'BUILDING' THEN 'high' ELSE 'low' END AS urgency_level
+          FROM num n JOIN freq USING (user_id)),
+        f AS (SELECT *, CASE WHEN frequency_30d >= 10 THEN 1 WHEN frequency_30d >= 5 THEN greatest(1, base - 1)
+          WHEN frequency_30d >= 2 THEN base ELSE least(4, base + 1) END AS fp FROM s),
+        sub AS (SELECT *, format('CMP-{{}}-{{:05d}}', year(submitted_at), request_id) AS code,
+          CASE urgency_level WHEN 'critical' THEN 1 WHEN 'high' THEN least(fp, 2) ELSE fp END AS priority_id,
+          CASE WHEN urgency_level IN ('critical','high') THEN 1 ELSE 0 END AS auto_priority_boosted FROM f)"""
+
+
 @query(
     "s05_submit_requests",
     with_views(
         "cat req",
-        f"""WITH {RAW_REQ}, {ETA_SQL.split("p AS (SELECT")[0].rstrip().rstrip(",")},
-        twins AS (SELECT cat_id, location_id, count(*) AS n FROM req WHERE submitted_at >= {{R_NOW}} - INTERVAL 30 DAY GROUP BY ALL),
-        s AS (SELECT r.user_id, c.cat_id, c.dept_id, r.location_id, c.default_priority_id AS base, coalesce(t.n, 0) AS frequency_30d,
-          CASE WHEN description = 'MACHINERY' THEN 'critical' WHEN description = 'BUILDING' THEN 'high' ELSE 'low' END AS urgency_level,
-          (coalesce(nullif(ch.h, 0), 24) * CAST(0.6 AS DOUBLE) + coalesce(nullif(lh.h, 0), 30) * CAST(0.4 AS DOUBLE))
-          * CAST(CASE c.default_priority_id WHEN 1 THEN 0.45 WHEN 2 THEN 0.7 WHEN 3 THEN 1.0 ELSE 1.25 END AS DOUBLE)
-          + least(18.0, coalesce(d.n, 0) * CAST(0.35 AS DOUBLE)) AS v
-          FROM raw r JOIN cat c ON try_cast(r.cat_id AS INTEGER) = c.cat_id LEFT JOIN twins t ON t.cat_id = c.cat_id AND t.location_id = r.location_id
-          LEFT JOIN cat_h ch ON ch.cat_id = c.cat_id LEFT JOIN loc_h lh ON lh.location_id = r.location_id LEFT JOIN load d ON d.dept_id = c.dept_id
-          WHERE description IS NOT NULL),
-        f AS (SELECT *, CASE WHEN frequency_30d >= 10 THEN 1 WHEN frequency_30d >= 5 THEN greatest(1, base - 1)
-          WHEN frequency_30d >= 2 THEN base ELSE least(4, base + 1) END AS fp FROM s)
-        SELECT user_id, cat_id, dept_id, frequency_30d, urgency_level,
-          CASE urgency_level WHEN 'critical' THEN 1 WHEN 'high' THEN least(fp, 2) ELSE fp END AS priority_id,
-          CASE WHEN urgency_level IN ('critical','high') THEN 1 ELSE 0 END AS auto_priority_boosted,
-          round(greatest(2.0, v), 1) AS predicted_hours FROM f""",
+        f"""WITH {SUBMITTED}, {ETA_SQL.split("p AS (SELECT")[0].rstrip().rstrip(",")},
+        v AS (SELECT sub.*, (coalesce(nullif(ch.h, 0), 24) * CAST(0.6 AS DOUBLE) + coalesce(nullif(lh.h, 0), 30) * CAST(0.4 AS DOUBLE))
+          * CAST(CASE base WHEN 1 THEN 0.45 WHEN 2 THEN 0.7 WHEN 3 THEN 1.0 ELSE 1.25 END AS DOUBLE)
+          + least(18.0, coalesce(d.n, 0) * CAST(0.35 AS DOUBLE)) AS v FROM sub
+          LEFT JOIN cat_h ch ON ch.cat_id = sub.cat_id LEFT JOIN loc_h lh ON lh.location_id = sub.location_id LEFT JOIN load d ON d.dept_id = sub.dept_id)
+        SELECT user_id, request_id, code, cat_id, dept_id, frequency_30d, urgency_level, priority_id, auto_priority_boosted,
+          round(greatest(2.0, v), 1) AS predicted_hours FROM v""",
     ),
 )
 def s05_submit(r):
-    out, _ = submit_requests(_raw_requests(r), r.cat, r.requests(), REQ_AS_OF, INTAKE_WORDS)
+    history = r.requests()
+    out, _ = submit_requests(_submitted(r), r.cat, history, REQ_AS_OF, INTAKE_WORDS, last_number=history.count())
     return out.select(
-        "user_id", "cat_id", "dept_id", "frequency_30d", "urgency_level", "priority_id", "auto_priority_boosted", "predicted_hours"
+        "user_id", "request_id", "code", "cat_id", "dept_id", "frequency_30d", "urgency_level", "priority_id", "auto_priority_boosted", "predicted_hours"
+    )
+
+
+def _two_batches(r):
+    raw, history = _submitted(r), materialize(r.requests(), "history")
+    intake = Intake(r.spark, scratch_dir(r.spark, "intake"), r.cat, r.preferences(), history.count(), keywords=INTAKE_WORDS)
+    early = F.col("user_id") % 40 < 15
+    for k, part in enumerate((raw.filter(early), raw.filter(~early), raw.filter(early))):
+        intake.submit(part, history, REQ_AS_OF, k % 2)  # the first batch is delivered again
+    return intake
+
+
+@query(
+    "s05_intake",
+    with_views("cat req", f"WITH {SUBMITTED} SELECT user_id, request_id, code, frequency_30d, priority_id, auto_priority_boosted, submitted_at FROM sub"),
+)
+def s05_intake(r):
+    """Two batches, one of them delivered twice, against all rows in one."""
+    return _two_batches(r).requests().select(
+        "user_id", "request_id", "code", "frequency_30d", "priority_id", "auto_priority_boosted", "submitted_at"
     )
+
+
+@query(
+    "s05_receipts",
+    with_views(
+        "cat req",
+        f"""WITH {SUBMITTED} SELECT request_id AS queue_id, user_id, 'complaint_received' AS template_key, submitted_at AS scheduled_at,
+        CASE WHEN priority_id = 1 THEN 'critical' ELSE 'normal' END AS priority,
+        request_id || ':complaint_received:pending:' || strftime(submitted_at, '%Y%m%d%H') AS idempotency_key FROM sub""",
+    ),
+)
+def s05_receipts(r):
+    return _two_batches(r).receipts().select("queue_id", "user_id", "template_key", "scheduled_at", "priority", "idempotency_key")

@@ -87,10 +87,11 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def read_log(self, name: str, schema: T.StructType) -> DataFrame:
-        """All rows of a log up to the latest version."""
-        last = self.manifest()["version"]
-        paths = [f"{self.path}/{name}/{v}" for v in self.files.names(f"{self.path}/{name}") if int(v[2:]) <= last]
+    def read_log(self, name: str, schema: T.StructType | None = None) -> DataFrame:
+        """All rows of a log up to the latest version, by default with the columns it was last written with."""
+        now = self.manifest()
+        schema = schema or T.StructType.fromJson(now["notes"]["logs"][name])
+        paths = [f"{self.path}/{name}/{v}" for v in self.files.names(f"{self.path}/{name}") if int(v[2:]) <= now["version"]]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
@@ -128,6 +129,7 @@ class Change:
     def append(self, name: str, rows: DataFrame) -> DataFrame:
         """Write this version's rows of a log; a version tried again writes them over."""
         rows.write.mode("overwrite").parquet(self.folder(name))
+        self.notes["logs"] = self.notes.get("logs", {}) | {name: rows.schema.jsonValue()}
         return self.store.spark.read.schema(rows.schema).parquet(self.folder(name))
 
     def once(self, name: str, make) -> DataFrame:
