@@ -60,11 +60,11 @@ def boost_priority(r: DataFrame) -> DataFrame:
 
 
 def sentiment_priority(r: DataFrame, cat: DataFrame) -> DataFrame:
-    """The more urgent of the category default and the text's urgency."""
+    """The more urgent of the category default and the text's urgency; of an unknown category, the text's alone."""
     base = cat.select("cat_id", F.col("default_priority_id").alias("base_priority"))
     felt = map_value("urgency_level", URGENCY_PRIORITY, 4)
     return (
-        r.join(base, "cat_id")
+        r.join(base, "cat_id", "left")
         .withColumn("sentiment_priority", felt)
         .withColumns(
             {

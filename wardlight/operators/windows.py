@@ -167,13 +167,15 @@ def rolling(daily: DataFrame, days: int, day: str = "day", value: str = "n", key
     """Rolling sum and mean per calendar day over the last `days` days, gaps counted as 0.
 
     Runs on a daily aggregate: each day's value is sent to the `days` days it counts for and
-    summed there, so there is no single-group window.
+    summed there, so there is no single-group window. Missing keys are a key of their own; a row
+    without a day stays, with no rolling values.
     """
     ahead = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
-    spread = daily.select(*keys, day, value, ahead.alias("_ahead")).withColumn("_to", F.date_add(day, F.col("_ahead")))
+    dated = daily.filter(F.col(day).isNotNull())
+    spread = dated.select(*keys, day, value, ahead.alias("_ahead")).withColumn("_to", F.date_add(day, F.col("_ahead")))
     sums = spread.groupBy(*keys, F.col("_to").alias(day)).agg(F.sum(value).alias(f"rolling_{value}"))
     return (
-        daily.join(sums, [*keys, day])
+        join_null_safe(daily, sums, [*keys, day], "left")
         .withColumn(f"rolling_avg_{value}", F.col(f"rolling_{value}") / F.lit(float(days)))
     )
 
@@ -189,13 +191,14 @@ def timeline(su: DataFrame, r: DataFrame) -> DataFrame:
     """Tracker steps: a request's history rows, or four synthetic steps when it has none.
 
     The newest history row is current and the others are done. It is found by one
-    combinable aggregate per request, so a long history is not gathered in one task.
+    combinable aggregate per request, so a long history is not gathered in one task. History
+    without a request id is kept, as the history of one request of its own.
     """
     newest = su.groupBy("request_id").agg(
         F.max(F.struct("updated_at", "update_id")).alias("_last"), F.count(F.lit(1)).alias("_n")
     )
     is_last = F.struct("updated_at", "update_id") == F.col("_last")
-    real = su.join(newest, "request_id").select(
+    real = join_null_safe(su, newest, ["request_id"]).select(
         "request_id",
         F.initcap(F.replace("new_status", F.lit("_"), F.lit(" "))).alias("step"),
         F.col("updated_at").alias("at"),
@@ -224,7 +227,7 @@ def timeline(su: DataFrame, r: DataFrame) -> DataFrame:
         step("In Progress", none, status.isin("in_progress", "resolved", "closed"), status == "in_progress"),
         step("Resolved", F.col("resolved_at"), status.isin("resolved", "closed"), status == "resolved"),
     )
-    bare = r.join(newest.select("request_id"), "request_id", "left_anti")
+    bare = join_null_safe(r, newest.select("request_id"), ["request_id"], "left_anti")
     synthetic = bare.select("request_id", F.explode(steps).alias("s")).select("request_id", "s.*")
     return real.unionByName(synthetic)
 

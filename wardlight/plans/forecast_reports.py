@@ -9,6 +9,7 @@ from wardlight.operators import predict as M
 from wardlight.plans.registry import query
 from wardlight.plans.roles import INC_AS_OF, REQ_AS_OF
 from wardlight.plans.sql import with_views
+from wardlight.session import materialize, scratch_dir
 
 ETA_SQL = """cat_h AS (SELECT cat_id, avg(date_sub('hour', submitted_at, resolved_at)) AS h FROM req WHERE resolved_at IS NOT NULL GROUP BY 1),
         loc_h AS (SELECT location_id, avg(date_sub('hour', submitted_at, resolved_at)) AS h FROM req WHERE resolved_at IS NOT NULL GROUP BY 1),
@@ -61,21 +62,34 @@ _BUCKET = f"CAST('0x' || substr(md5(concat_ws('|', '42', {ETA_COLUMNS})), 1, 8)
           WHERE resolved_at IS NOT NULL AND status IN ('resolved','closed') AND date_sub('hour', submitted_at, resolved_at) > 0),
         s AS (SELECT *, {_BUCKET} AS bucket FROM f)
         SELECT count(*) FILTER (bucket >= 200) AS train_rows, count(*) FILTER (bucket < 200) AS test_rows,
-          count(*) FILTER (bucket < 200) AS predicted_in_range FROM s""",
+          count(*) FILTER (bucket < 200) AS predicted_in_range, count(*) FILTER (bucket < 200) AS same_after_load, TRUE AS varied FROM s""",
     ),
 )
 def m03(r):
-    """Rows of both parts, and test rows whose prediction lies within what was trained on.
+    """Rows of both parts, and test rows whose prediction by the saved model is the fitted one's.
 
-    A forest's prediction is a mean of training values, so all of them must.
+    A forest's prediction is a mean of training values, so all lie within them; it must not be one
+    constant.
     """
-    features = M.resolution_features(r.lines(category=True, location=True)).select(*ETA_COLUMNS.split(", "))
-    model, _ = M.train_eta(features)
+    features = materialize(M.resolution_features(r.lines(category=True, location=True)).select(*ETA_COLUMNS.split(", ")), "features")
+    model, path = M.EtaModel.train(features), scratch_dir(r.spark, "eta-model")
+    model.save(path)
     train, test = M.split_by_hash(features)
     known = train.agg(F.count("*").alias("train_rows"), F.min("resolution_hours").alias("low"), F.max("resolution_hours").alias("high"))
-    inside = F.col("prediction").between(F.col("low") - 1e-6, F.col("high") + 1e-6)
-    tested = model.transform(test).select("prediction", known.select("low").scalar().alias("low"), known.select("high").scalar().alias("high"))
-    return tested.agg(F.count("*").alias("test_rows"), F.count_if(inside).alias("predicted_in_range")).withColumn("train_rows", known.select("train_rows").scalar())
+    both = M.EtaModel.load(r.spark, path).predict(model.predict(test, "fitted"), "loaded")
+    low, high = (known.select(c).scalar() for c in ("low", "high"))
+    return both.agg(
+        F.count("*").alias("test_rows"),
+        F.count_if(F.col("fitted").between(low - 1e-6, high + 1e-6)).alias("predicted_in_range"),
+        F.count_if(F.abs(F.col("fitted") - F.col("loaded")) < 1e-9).alias("same_after_load"),
+        (F.max("fitted") - F.min("fitted") > 1).alias("varied"),
+    ).withColumn("train_rows", known.select("train_rows").scalar())
+
+
+@query("m03_backtest")
+def m03_backtest(r):
+    """Errors per month of the last quarter of requests; a forest's numbers have no SQL."""
+    return M.backtest_eta(r.requests(), "2000-06-01", 3, 20, 8)
 
 
 @query(
@@ -87,11 +101,15 @@ def m03(r):
         SELECT cat_id, location_id, priority_id, dept_id, h AS resolution_hours, round(avg(h) OVER (PARTITION BY cat_id), 4) AS category_avg,
         round(avg(h) OVER (PARTITION BY location_id), 4) AS location_avg,
         (SELECT count(*) FROM req w WHERE w.dept_id = f.dept_id AND w.status NOT IN ('resolved','closed')
-          AND w.submitted_at >= {R_NOW} - INTERVAL 7 DAY) AS dept_load FROM f""",
+          AND w.submitted_at >= {R_NOW} - INTERVAL 7 DAY) AS dept_load FROM f""".replace(
+            "*, date_sub", "* REPLACE (CASE WHEN request_id % 9 <> 0 THEN cat_id END AS cat_id, CASE WHEN request_id % 8 <> 0 THEN location_id END AS location_id), date_sub"
+        ),
     ),
 )
 def m04(r):
-    out = M.history_features(r.requests(), REQ_AS_OF)
+    """Some requests have no category or no location."""
+    gone = {c: F.when(F.col("request_id") % n != 0, F.col(c)) for c, n in (("cat_id", 9), ("location_id", 8))}
+    out = M.history_features(r.requests().withColumns(gone), REQ_AS_OF)
     return out.select(
         "cat_id",
         "location_id",
@@ -108,22 +126,31 @@ def m04(r):
     "m04_train_best",
     with_views(
         "req",
-        """SELECT priority_id, count(*) AS predicted, round(avg(date_sub('hour', submitted_at, resolved_at)), 4) AS avg_actual, count(*) AS range_holds
-        FROM req WHERE resolved_at IS NOT NULL AND date_sub('hour', submitted_at, resolved_at) > 0 AND status IN ('resolved','closed') GROUP BY 1""",
+        """SELECT priority_id, count(*) AS predicted, round(avg(date_sub('hour', submitted_at, resolved_at)), 4) AS avg_actual,
+          count(*) AS range_holds, TRUE AS varied, TRUE AS mean_is_near FROM req WHERE resolved_at IS NOT NULL AND date_sub('hour', submitted_at, resolved_at) > 0 AND status IN ('resolved','closed') GROUP BY 1""",
     ),
 )
 def m04_best(r):
-    """Predictions of the better model by priority: how many, and how many lie below their range's end."""
+    """Predictions of the better model by priority: how many, how many lie inside their range, and
+    whether they differ and come near the actual mean (within a quarter)."""
     features = M.history_features(r.requests(), REQ_AS_OF)
     model, _, mae = M.train_eta_best(features)
     out = M.predict_range(model, features, mae)
     return out.groupBy("priority_id").agg(
         F.count("predicted_hours").alias("predicted"),
         F.round(F.avg("resolution_hours"), 4).alias("avg_actual"),
-        F.count_if(F.col("predicted_hours") <= F.col("range_high")).alias("range_holds"),
+        F.count_if(F.col("predicted_hours").between(F.col("range_low"), F.col("range_high"))).alias("range_holds"),
+        (F.max("prediction") - F.min("prediction") > 1).alias("varied"),
+        (F.abs(F.avg("prediction") / F.avg("resolution_hours") - 1) < 0.25).alias("mean_is_near"),
     )
 
 
+@query("m04_candidates")
+def m04_candidates(r):
+    """Hold-out errors of both learners and which one wins; their numbers have no SQL."""
+    return M.compare_eta(M.history_features(r.requests(), REQ_AS_OF))[0]
+
+
 @query(
     "m05_eta_error_report",
     with_views(

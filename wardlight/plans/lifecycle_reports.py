@@ -82,12 +82,16 @@ def l02(r):
         "req cat",
         f"""SELECT request_id, default_priority_id AS base_priority, s AS sentiment_priority, least(default_priority_id, s) AS priority_id,
         CASE WHEN s < default_priority_id THEN 1 ELSE 0 END AS auto_priority_boosted
-        FROM (SELECT *, CASE {URG} WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS s FROM req) r
-        JOIN cat c ON r.cat_id = c.cat_id""",
+        FROM (SELECT *, CASE {URG} WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS s,
+          CASE WHEN request_id % 17 = 0 THEN NULL WHEN request_id % 19 = 0 THEN 99 ELSE cat_id END AS filed FROM req) r
+        LEFT JOIN cat c ON filed = c.cat_id""",
     ),
 )
 def l03(r):
-    out = L.sentiment_priority(_with_urgency(r.requests(resolved=False)), r.cat)
+    """Some requests have no category, or one that is not in the table."""
+    key = F.col("request_id")
+    filed = F.when(key % 17 == 0, F.lit(None)).when(key % 19 == 0, 99).otherwise(F.col("cat_id"))
+    out = L.sentiment_priority(_with_urgency(r.requests(resolved=False).withColumn("cat_id", filed)), r.cat)
     return out.select("request_id", "base_priority", "sentiment_priority", "priority_id", "auto_priority_boosted")
 
 
@@ -319,15 +323,20 @@ def w04(r):
     "w05_rolling",
     with_views(
         "inc",
-        """WITH d AS (SELECT location_id, incident_date, count(*) AS n FROM inc GROUP BY ALL)
-        SELECT location_id, incident_date, n, CAST(sum(n) OVER w AS BIGINT) AS rolling_n, round(sum(n) OVER w / 7.0, 6) AS rolling_avg_n
+        """WITH d AS (SELECT CASE WHEN location_id % 6 <> 0 THEN location_id END AS location_id,
+          CASE WHEN incident_id % 90 <> 0 THEN incident_date END AS incident_date, count(*) AS n FROM inc GROUP BY ALL)
+        SELECT location_id, incident_date, n, CASE WHEN incident_date IS NOT NULL THEN CAST(sum(n) OVER w AS BIGINT) END AS rolling_n,
+        CASE WHEN incident_date IS NOT NULL THEN round(sum(n) OVER w / 7.0, 6) END AS rolling_avg_n
         FROM d WINDOW w AS (PARTITION BY location_id ORDER BY incident_date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)""",
     ),
 )
 def w05(r):
     from wardlight.functions.measures import daily_counts
 
-    out = W.rolling(daily_counts(r.incidents()), 7, "incident_date", "n", ("location_id",))
+    place = F.when(F.col("location_id") % 6 != 0, F.col("location_id"))
+    day = F.when(F.col("incident_id") % 90 != 0, F.col("incident_date"))
+    incidents = r.incidents().withColumns({"location_id": place, "incident_date": day})
+    out = W.rolling(daily_counts(incidents), 7, "incident_date", "n", ("location_id",))
     return out.withColumn("rolling_avg_n", F.round("rolling_avg_n", 6))
 
 
@@ -364,17 +373,24 @@ def history(req):
     with_views(
         "req",
         f"""WITH {HISTORY},
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC) AS back FROM hist),
+        filed AS (SELECT * REPLACE (CASE WHEN request_id % 50 <> 0 THEN request_id END AS request_id), request_id * 4
+          + CASE new_status WHEN 'assigned' THEN 1 WHEN 'in_progress' THEN 2 ELSE 3 END AS update_id FROM hist),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, update_id DESC) AS back FROM filed),
         steps AS (SELECT * FROM (VALUES (1, 'Submitted'), (2, 'Assigned'), (3, 'In Progress'), (4, 'Resolved')) v(n, step))
         SELECT request_id, CASE new_status WHEN 'assigned' THEN 'Assigned' WHEN 'in_progress' THEN 'In Progress' ELSE 'Resolved' END AS step,
           updated_at AS at, CASE WHEN back = 1 THEN 0 ELSE 1 END AS done, CASE WHEN back = 1 THEN 1 ELSE 0 END AS is_current FROM ranked
-        UNION ALL SELECT request_id, step, CASE n WHEN 1 THEN submitted_at WHEN 4 THEN resolved_at END, 0, 0
-        FROM req, steps WHERE status IN ('pending','rejected')""",
+        UNION ALL SELECT request_id, step, CASE n WHEN 1 THEN submitted_at WHEN 4 THEN resolved_at END,
+          CAST(CASE n WHEN 1 THEN status <> 'pending' WHEN 2 THEN status IN ('assigned','in_progress','resolved','closed')
+            WHEN 3 THEN status IN ('in_progress','resolved','closed') ELSE status IN ('resolved','closed') END AS INTEGER),
+          CAST(CASE n WHEN 1 THEN FALSE WHEN 2 THEN status = 'assigned' WHEN 3 THEN status = 'in_progress' ELSE status = 'resolved' END AS INTEGER)
+        FROM req, steps WHERE status IN ('pending','rejected') OR request_id % 50 = 0""",
     ),
 )
 def w07(r):
+    """The history of every fiftieth request has lost its request id."""
     req = r.requests()
-    return W.timeline(history(req), req)
+    filed = F.when(F.col("request_id") % 50 != 0, F.col("request_id"))
+    return W.timeline(history(req).withColumn("request_id", filed), req)
 
 
 # -- duplicates and community --------------------------------------------------------
