@@ -61,6 +61,50 @@ def test_bpe_joins_unsplit_text():
         assert codec.join(text[:at], codec.encode(text[:at]), text[at:], codec.encode(text[at:])) == want
 
 
+def test_words_merged_by_rank():
+    """Any bytes, in words of any length, give the library's ids."""
+    import random
+
+    assert bpe.by_rank(PATH)
+    plain, ranked, rng = bpe.codec(PATH), bpe.codec(PATH, True), random.Random(11)
+    parts = ["the", "ing", "tion", "a", "e", "Ġ", "é", "日本", "Zx", "0", "--", "aaaa", "\u00ad"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))).encode() for _ in range(3_000)]
+    words += [rng.randbytes(rng.randrange(1, 40)) for _ in range(3_000)] + [b"ab" * 500, b" " * 300]
+    for w in words:
+        assert ranked._leaf(w) == plain._leaf(w), w
+    for text in ("one two  three\n\n four", "x" * 5_000, " lead", "naïve Église's 12,000 <|endoftext|> end"):
+        assert ranked.encode(text) == plain.encode(text)
+
+
+def test_ambiguous_merges_stay_with_the_library(tmp_path):
+    """A token that its own merges never reach must not be merged by rank."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        config = json.load(f)
+    merges = config["model"]["merges"]
+    pair = merges[0].split(" ") if isinstance(merges[0], str) else list(merges[0])
+    twice = [m.split(" ") if isinstance(m, str) else list(m) for m in merges]
+    config["model"]["merges"] = [pair, *twice]
+    path = tmp_path / "twice.json"
+    path.write_text(json.dumps(config), encoding="utf-8")
+    assert not bpe.by_rank(str(path))
+
+
+def test_null_ids_fill_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_DOCS", 10)
+    from wardlight.session import scratch_dir
+
+    rows = [(None if k % 3 == 0 else k, f"text number {k}") for k in range(120)]
+    out = scratch_dir(spark, "tokens")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, out)
+    blocks = spark.read.parquet(f"{out}/blocks").select("part", F.size("doc_ids").alias("n")).collect()
+    assert max(r.n for r in blocks) < 40 and len({r.part for r in blocks}) > 6
+    back = token_files.read_tokens(spark, out).orderBy("start").collect()
+    ids = [r.doc_id for r in back]
+    assert ids[:40] == [None] * 40 and ids[40:] == sorted(ids[40:]) and len(ids) == 120
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     tok = library()
     got = token_files.written_digests(docs, PATH).collect()

@@ -12,6 +12,9 @@ A token table is a folder:
 The dictionary is fitted on at most `SAMPLE_DOCS` documents of at most `SAMPLE_CHARS` characters,
 taken by the order of a hash of doc_id. Everything else covers every row.
 
+There are at most `MAX_PARTS` parts; beyond 82 million documents a part, which one task sorts on
+disk and packs a block at a time, grows instead.
+
 Defined results: a null text is the empty text and holds the end id only; rows of null doc_id
 stand first; rows of equal doc_id follow one another in an open order.
 """
@@ -84,17 +87,22 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
 
     n = docs.count()
     parts = int(min(MAX_PARTS, max(1, -(-n // PART_DOCS))))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * MAX_PARTS)).first()[0] if parts > 1 else None
+    first = np.iinfo(np.int64).min  # null ids stand first
+    known_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(first)))
+    cuts = docs.agg(F.percentile_approx(known_id, [i / parts for i in range(1, parts)], 10 * MAX_PARTS)).first()[0] if parts > 1 else None
     bounds = np.array(cuts or [], dtype=np.int64)
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("frame", pa.binary())])
 
     def framed(doc_ids, ids):
         compress = _zstd(dictionary)[0].compress
         frames = [compress(_serialize(i, end_id, width)) for i in ids]
-        known = doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        known = doc_ids.fill_null(first).to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(bounds, known, side=s) for s in ("left", "right"))
+        # an id that fills several parts, as null may, is spread over them by its texts
+        part = low + np.array([zlib.crc32(f) for f in frames], np.int64) % (high - low + 1)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.searchsorted(bounds, known, side="left"), pa.int32()),
+                pa.array(part, pa.int32()),
                 doc_ids,
                 pa.array([len(i) // 4 + 1 for i in ids], pa.int64()),
                 pa.array(frames, pa.binary()),
@@ -104,6 +112,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of a task's rows, which come sorted by part and doc_id."""
+        bpe.codec.cache_clear()  # a worker that packs gives the encoder's memory back
         held: list[tuple] = []
         part, number, start = None, 0, 0
 
