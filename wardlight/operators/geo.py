@@ -73,3 +73,34 @@ def grid_aggregate(
             "cell_lng": F.round((F.col("cell_x") + 0.5) * step, 7),
         }
     )
+
+
+def grid_pyramid(points: DataFrame, levels: int, cell_m: float = 100.0, bbox: tuple | None = None, as_of=None, days: int = 30) -> DataFrame:
+    """The grid at every level of zoom: level 0 has cells of `cell_m`, each next one of twice the side.
+
+    Points are read and counted once, into the finest cells; a cell's number, shifted right by the
+    level, is the number of the larger cell around it, also south and west of zero.
+    """
+    finest = grid_aggregate(points, cell_m, bbox, as_of, days).select("cell_y", "cell_x", "n")
+    every = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    up = lambda c: F.expr(f"shiftright({c}, level)").alias(c)
+    cells = every.groupBy("level", up("cell_y"), up("cell_x")).agg(F.sum("n").alias("n"))
+    side = F.lit(cell_m / METRES_PER_DEGREE) * F.pow(F.lit(2.0), F.col("level"))
+    return cells.withColumns(
+        {
+            "cell_lat": F.round((F.col("cell_y") + 0.5) * side, 7),
+            "cell_lng": F.round((F.col("cell_x") + 0.5) * side, 7),
+        }
+    )
+
+
+def grid_view(pyramid: DataFrame, zoom: int, bbox: tuple, finest_zoom: int = 17) -> DataFrame:
+    """Cells of a map view: the level that fits the zoom, inside (min lat, min lng, max lat, max lng).
+
+    At `finest_zoom` and beyond level 0 is shown; each step out doubles the cells' side, up to the
+    coarsest level there is.
+    """
+    coarsest = pyramid.agg(F.max("level")).scalar()
+    level = F.least(F.lit(max(0, finest_zoom - zoom)), coarsest)
+    inside = F.col("cell_lat").between(bbox[0], bbox[2]) & F.col("cell_lng").between(bbox[1], bbox[3])
+    return pyramid.filter((F.col("level") == level) & inside)

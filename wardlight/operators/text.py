@@ -9,11 +9,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.functions.columns import clamp, count_char, has_text, map_value
+from wardlight.functions.measures import n_rows
 from wardlight.operators.lifecycle import URGENCY_PRIORITY
 from wardlight.operators.windows import join_null_safe
+from wardlight.session import materialize
 
 # Category labels and the words that point to each.
 CATEGORY_KEYWORDS = {
@@ -107,6 +110,47 @@ def category_scores(docs: DataFrame, keywords: dict = CATEGORY_KEYWORDS, id_col=
     return scored.select(id_col, "s.label", "s.hits", "s.score", (F.col("_pos") + 1).alias("rank"))
 
 
+def keyword_hits(docs: DataFrame, keywords: DataFrame, id_col="doc_id", text="text") -> DataFrame:
+    """id, label, hits: how many of a label's keywords each text holds as substrings, whatever the case.
+
+    `keywords` is a table (label, keyword) of any size; texts without a hit have no row. Texts are
+    read once into their distinct words. A keyword's longest part without a space must lie inside
+    of a word, so words and parts meet on the part's first three characters, once for each word
+    there is. Keywords with spaces are then looked for in the texts that hold this part. Keywords
+    without a visible character are ignored, and so are repeats within a label.
+    """
+    lowered = docs.select(id_col, F.lower(text).alias("_text"))
+    split = F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")
+    words = materialize(lowered.select(id_col, split).filter("_word <> ''"), "words")
+    longest = F.expr("element_at(array_sort(split(keyword, ' '), (a, b) -> length(b) - length(a)), 1)")
+    listed = keywords.select("label", F.lower("keyword").alias("keyword")).distinct().withColumn("_part", longest).filter("_part <> ''")
+    grams = F.expr(
+        "array_distinct(flatten(transform(array(1, 2, 3), n -> transform(sequence(1, greatest(length(_word) - n + 1, 1)), i -> substring(_word, i, n)))))"
+    )
+    met = words.select("_word").distinct().withColumn("_gram", F.explode(grams))
+    parts = listed.select("_part", F.substring("_part", 1, 3).alias("_gram")).distinct()
+    inside = met.join(parts, "_gram").filter(F.contains("_word", F.col("_part"))).select("_word", "_part").distinct()
+    near = words.join(inside, "_word").select(id_col, "_part").distinct().join(listed, "_part")
+    spaced = F.col("keyword") != F.col("_part")
+    unsure = near.filter(spaced).join(lowered, id_col).filter(F.contains("_text", F.col("keyword")))
+    held = near.filter(~spaced).select(id_col, "label").unionByName(unsure.select(id_col, "label"))
+    return held.groupBy(id_col, "label").agg(n_rows().alias("hits"))
+
+
+def keyword_scores(docs: DataFrame, keywords: DataFrame, id_col="doc_id", text="text") -> DataFrame:
+    """`category_scores` with a keyword table (label, label_no, keyword); labels rank by number at equal hits."""
+    numbered = keywords.groupBy("label").agg(F.min("label_no").alias("label_no"))
+    labels = numbered.agg(F.collect_list(F.struct("label", "label_no"))).scalar()  # one entry a label
+    every = docs.select(id_col, F.explode(labels).alias("_l")).select(id_col, "_l.*")
+    counted = every.join(keyword_hits(docs, keywords, id_col, text), [id_col, "label"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("int"))
+    weight = F.greatest(F.lit(0.1), F.col("hits").cast("double"))
+    of_text = W.partitionBy(id_col)  # one row a label
+    best = of_text.orderBy(F.col("hits").desc(), "label_no")
+    return counted.select(
+        id_col, "label", "hits", (weight / F.sum(weight).over(of_text)).alias("score"), F.row_number().over(best).alias("rank")
+    )
+
+
 def normalize_label(label) -> Column:
     """Category name for a label or free hint; the first matching rule wins, else 'Other'."""
     text = F.lower(F.coalesce(F.col(label) if isinstance(label, str) else label, F.lit("")))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.functions.columns import MICROS_PER, code, pct_change_of, seconds, year
+from wardlight.session import materialize
 from wardlight.sources.tables import latest_per_key  # noqa: F401  (W02 lives with the keyed tables)
 
 
@@ -181,12 +182,37 @@ def rolling(daily: DataFrame, days: int, day: str = "day", value: str = "n", key
 
 
 def ranked(df: DataFrame, part: list[str], order: list, k: int | None = None, dense: bool = False) -> DataFrame:
-    """Rank with ties. With k, Spark keeps at most the top ranks per partition before the shuffle."""
+    """Rank with ties. With k, Spark keeps at most the top ranks per partition before the shuffle.
+
+    Without k, each part is one window group; `ranked_all` ranks parts of any size.
+    """
     w = W.partitionBy(*part).orderBy(*order)
     out = df.withColumn("rank", (F.dense_rank() if dense else F.rank()).over(w))
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+def ranked_all(df: DataFrame, part: list[str], columns: list[tuple[str, str]], dense: bool = False, out: str = "rank") -> DataFrame:
+    """Rank with ties of every row within `part` by (column, "asc" or "desc"), hot parts included.
+
+    Rows are counted per distinct value first, which combines before the shuffle. The values are
+    cut by range, so a part with very many of them lies in several pieces; running sums inside a
+    piece start from the totals of the pieces before it. Missing keys are a part of their own;
+    missing values come first ascending and last descending.
+    """
+    names = [c for c, _ in columns]
+    order = [F.col(c).asc() if d == "asc" else F.col(c).desc() for c, d in columns]
+    values = df.groupBy(*part, *names).agg(F.count(F.lit(1)).alias("_n"))
+    cut = materialize(values.repartitionByRange(*part, *order).withColumn("_piece", F.spark_partition_id()), "rank-values")
+    step = F.lit(1) if dense else F.col("_n")
+    totals = cut.groupBy(*part, "_piece").agg(F.sum(step).alias("_total"))
+    before = W.partitionBy(*part).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    opening = totals.select(*part, "_piece", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*part, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = join_null_safe(cut, opening, [*part, "_piece"])
+    rank = F.lit(1) + F.col("_before") + F.coalesce(F.sum(step).over(inside), F.lit(0))
+    return join_null_safe(df, placed.select(*part, *names, rank.alias(out)), [*part, *names])
+
+
 def timeline(su: DataFrame, r: DataFrame) -> DataFrame:
     """Tracker steps: a request's history rows, or four synthetic steps when it has none.
 
@@ -285,9 +311,10 @@ def union_to(shape: list[str], *dfs: DataFrame) -> DataFrame:
 
 
 def first_distinct(df: DataFrame, key: list[str], rank: str) -> DataFrame:
-    """One row per key, the one of lowest rank, as a combinable `min_by`."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(*key).agg(F.min_by(row, F.col(rank)).alias("_row")).select("_row.*")
+    """One row per key, the one of lowest rank, of equal ranks the least by all columns."""
+    ordered = [rank, *(c for c in df.columns if c not in (rank, *key))]
+    least = df.groupBy(*key).agg(F.min(F.struct(*ordered)).alias("_row"))
+    return least.select(*(F.col(c) if c in key else F.col(f"_row.{c}") for c in df.columns))
 
 
 def sorted_set(c) -> Column:

@@ -341,3 +341,36 @@ def g04(r):
         F.col("incident_date").cast("timestamp_ntz").alias("event_time"),
     )
     return G.grid_aggregate(points, 100.0, (18.4, 73.7, 18.6, 73.9), INC_AS_OF, 10)
+
+
+def _levels(count: int) -> str:
+    """Each level by a group of its own over all points."""
+    step = 100.0 / G.METRES_PER_DEGREE
+    cell = lambda c, k: f"CAST(floor(floor({c} / {step}::DOUBLE) / {2**k}) AS BIGINT)"
+    return " UNION ALL ".join(
+        f"""SELECT {k} AS level, {cell("latitude", k)} AS cell_y, {cell("longitude", k)} AS cell_x, count(*) AS n FROM inc
+        WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY ALL"""
+        for k in range(count)
+    )
+
+
+def _pins(r):
+    return r.incidents().select(F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+
+
+@query("g04_grid_pyramid", with_views("inc", f"SELECT level, cell_y, cell_x, CAST(n AS BIGINT) AS n FROM ({_levels(6)})"))
+def g04_pyramid(r):
+    return G.grid_pyramid(_pins(r), 6).select("level", "cell_y", "cell_x", "n")
+
+
+@query(
+    "g04_grid_view",
+    with_views(
+        "inc",
+        f"""WITH p AS ({_levels(6)}), c AS (SELECT *, {100.0 / G.METRES_PER_DEGREE}::DOUBLE * 8 AS side FROM p WHERE level = 3)
+        SELECT cell_y, cell_x, CAST(n AS BIGINT) AS n, round((cell_y + 0.5) * side, 7) AS cell_lat, round((cell_x + 0.5) * side, 7) AS cell_lng FROM c
+        WHERE round((cell_y + 0.5) * side, 7) BETWEEN 18.45 AND 18.6 AND round((cell_x + 0.5) * side, 7) BETWEEN 73.7 AND 73.9""",
+    ),
+)
+def g04_view(r):
+    return G.grid_view(G.grid_pyramid(_pins(r), 6), 14, (18.45, 73.7, 18.6, 73.9)).drop("level")

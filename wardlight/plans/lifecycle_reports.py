@@ -352,6 +352,22 @@ def w06(r):
     return W.ranked(named, ["c_nationkey"], [F.col("n").desc()], 5)
 
 
+@query(
+    "w06_ranked_all",
+    """WITH v AS (SELECT CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 'hot' ELSE event_type END AS kind, event_id, CAST(ts AS DATE) AS day,
+        CASE WHEN event_id % 40 <> 0 THEN round(value) END AS score FROM events)
+      SELECT event_id, kind, rank() OVER (PARTITION BY kind ORDER BY score DESC NULLS LAST, day ASC NULLS FIRST) AS rank,
+        dense_rank() OVER (PARTITION BY kind ORDER BY score DESC NULLS LAST) AS dense FROM v""",
+)
+def w06_all(r):
+    """Ranks of all events; a third of them lie in one part."""
+    kind = F.when(F.col("user_id") % 5 == 0, F.lit(None)).when(F.col("user_id") % 3 == 0, "hot").otherwise(F.col("event_type"))
+    score = F.when(F.col("event_id") % 40 != 0, F.round("value"))
+    rows = r.t["events"].select("event_id", kind.alias("kind"), F.col("ts").cast("date").alias("day"), score.alias("score"))
+    ranks = W.ranked_all(rows, ["kind"], [("score", "desc"), ("day", "asc")])
+    return W.ranked_all(ranks, ["kind"], [("score", "desc")], True, "dense").select("event_id", "kind", "rank", "dense")
+
+
 HISTORY = """hist AS (SELECT request_id, coalesce(assigned_to, 1) AS updated_by, * FROM (
           SELECT request_id, assigned_to, 'pending' AS old_status, 'assigned' AS new_status, 'Complaint assigned to field officer' AS remarks,
             submitted_at + INTERVAL 2 HOUR AS updated_at FROM req WHERE status NOT IN ('pending','rejected')

@@ -16,6 +16,7 @@ from wardlight.plans.roles import REQ_AS_OF
 from wardlight.plans.sql import with_views
 from wardlight.session import materialize, scratch_dir
 from wardlight.sources import tables as S
+from wardlight.sources.store import KeyedTable
 from wardlight.sql_functions import register_functions
 
 NAMES = ["customer", "documents", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
@@ -49,6 +50,34 @@ def s03b(r):
     return S.dim_locations(r.loc)
 
 
+@query(
+    "s03_dim_departments",
+    with_views(
+        "dept req",
+        """SELECT dept_id, dept_name, dept_code, head_name, (SELECT count(*) FROM req WHERE req.dept_id = dept.dept_id) AS n_requests
+        FROM dept WHERE is_active""",
+    ),
+)
+def s03_departments(r):
+    used = r.requests(resolved=False).groupBy("dept_id").agg(F.count(F.lit(1)).alias("n_requests"))
+    out = S.dim_departments(r.dept).join(used, "dept_id", "left").withColumn("n_requests", F.coalesce("n_requests", F.lit(0)))
+    return out.select("dept_id", "dept_name", "dept_code", "head_name", "n_requests")
+
+
+@query(
+    "s03_dim_crime_types",
+    with_views(
+        "types inc",
+        """SELECT crime_type_id, type_name, type_code, severity, (SELECT count(*) FROM inc WHERE inc.crime_type_id = types.crime_type_id) AS n_incidents
+        FROM types""",
+    ),
+)
+def s03_types(r):
+    used = r.incidents().groupBy("crime_type_id").agg(F.count(F.lit(1)).alias("n_incidents"))
+    out = S.dim_crime_types(r.types).join(used, "crime_type_id", "left").withColumn("n_incidents", F.coalesce("n_incidents", F.lit(0)))
+    return out.select("crime_type_id", "type_name", "type_code", "severity", "n_incidents")
+
+
 @query("s04_derive_feedback", with_views("fb", "SELECT request_id, user_id, rating, comment, is_satisfied FROM fb"))
 def s04a(r):
     return S.derive_feedback(r.requests(), FEEDBACK_LIMITS)
@@ -174,6 +203,22 @@ def s07(r):
     return S.upsert(base, _delta(r), ["user_id"], "version")
 
 
+@query(
+    "s07_keyed_table",
+    f"""WITH d AS ({NEWEST}) SELECT user_id, kind, value, version FROM d
+      UNION ALL SELECT c_custkey, 'none', 0.0, -1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM d)""",
+)
+def s07_table(r):
+    """The same on disk, the newer half of the delta first; only touched buckets are written again."""
+    base = _base(r).withColumn("version", F.lit(-1).cast("long"))
+    table = KeyedTable(r.spark, scratch_dir(r.spark, "keyed"), base.schema, ["user_id"], ["version"], 16)
+    middle = r.t["events"].agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    delta = _delta(r)
+    for rows in (base, delta.filter(F.col("version") > middle), delta.filter(F.col("version") <= middle)):
+        table.upsert(rows)
+    return table.read()
+
+
 @query(
     "s08_insert_ignore",
     """SELECT c_custkey AS user_id, 'none' AS kind, 'base' AS origin FROM customer

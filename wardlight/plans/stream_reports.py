@@ -160,7 +160,7 @@ def x06(r):
       HAVING max(ts) + INTERVAL 2 HOUR <= {MAX_TS} - INTERVAL 1 HOUR""",
 )
 def x07(r):
-    return X.run_to_table(X.stream_presence(X.event_stream(r.spark, r.path).select("user_id", "ts"), "ts", "2 hours"), "x07")
+    return X.run_to_table(X.stream_presence(X.event_stream(r.spark, r.path).select("user_id", "ts"), "ts", "2 hours"), "x07", settings=X.MERGE_SESSIONS_EARLY)
 
 
 @query(

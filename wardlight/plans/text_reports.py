@@ -49,6 +49,17 @@ def t01(r):
     return out.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "t01_keyword_table",
+    f"WITH {SCORES} SELECT doc_id, label, hits, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM scores",
+)
+def t01_table(r):
+    """The same scores with the keywords in a table."""
+    listed = [(label, n, w) for n, (label, words) in enumerate(KEYWORDS.items()) for w in words]
+    out = X.keyword_scores(r.docs, r.values(listed, "label, label_no, keyword"))
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query(
     "t02_suggest_categories",
     with_views(

@@ -30,35 +30,54 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 
 @contextmanager
+def session_settings(spark: SparkSession, settings: dict):
+    """Start queries with these settings; the session's own are put back at once.
+
+    A started query works on its copy.
+    """
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def state_partitions(spark: SparkSession, count: int | None):
     """Start a query with `count` state partitions, or with the session's shuffle partitions.
 
     A stateful query keeps its partition count for the life of its checkpoint, so choose it
-    for the size the state will grow to. The session's own value is put back at once; the
-    started query works on its copy.
+    for the size the state will grow to.
     """
     name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(count or before))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return session_settings(spark, {name: count or spark.conf.get(name)})
+
+
+#: Sessions are merged where their rows were read, so a busy user's rows are few before the shuffle.
+MERGE_SESSIONS_EARLY = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
 
 def run_to_table(
-    stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None, partitions: int | None = None
+    stream: DataFrame,
+    label: str,
+    path: str | None = None,
+    checkpoint: str | None = None,
+    partitions: int | None = None,
+    settings: dict | None = None,
 ) -> DataFrame:
     """Process all available input, write it append-only with exactly-once files, and read the table.
 
     Pass the same `path` and `checkpoint` again to go on where the last run stopped.
-    `partitions` is the state's partition count at the first start (session value if None).
+    `partitions` is the state's partition count at the first start (session value if None),
+    `settings` are further settings of the query.
     """
     spark = stream.sparkSession
     path = path or scratch_dir(spark, label)
     checkpoint = checkpoint or scratch_dir(spark, f"{label}-checkpoint")
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    with state_partitions(spark, partitions):
+    with state_partitions(spark, partitions), session_settings(spark, settings or {}):
         query = writer.outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -118,7 +137,11 @@ def stream_kpi(r: DataFrame, ts: str, window: str = "1 day", delay: str = "1 hou
 
 
 def stream_presence(heartbeats: DataFrame, ts: str, gap: str = "2 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions per user: one ends when no heartbeat came for `gap`."""
+    """Sessions per user: one ends when no heartbeat came for `gap`.
+
+    Started with `MERGE_SESSIONS_EARLY`, every task merges the heartbeats it has read into sessions
+    first, so of a user with very many heartbeats only the sessions of each task are shuffled.
+    """
     sessions = (
         heartbeats.withWatermark(ts, delay)
         .groupBy("user_id", F.session_window(ts, gap).alias("s"))
