@@ -87,3 +87,25 @@ def test_inactive_other_is_not_suggested(spark):
     cat = spark.sql("SELECT * FROM VALUES (1, 'Roads', 'i', true), (2, 'Other', 'i', false) v(cat_id, cat_name, icon_class, is_active)")
     got = T.label_categories(cat, ["x", "y"], {"x": "Roads"}).collect()
     assert [(r.label, r.cat_id) for r in got] == [("x", 1)]
+
+
+def test_urgency_decides_without_a_category(frame):
+    r = frame("request_id BIGINT, cat_id INT, urgency_level STRING", [(1, 1, "low"), (2, None, "high"), (3, 99, "critical"), (4, None, None)])
+    cat = frame("cat_id INT, default_priority_id INT", [(1, 3)])
+    out = {x.request_id: (x.priority_id, x.auto_priority_boosted) for x in L.sentiment_priority(r, cat).collect()}
+    assert out == {1: (3, 0), 2: (2, 0), 3: (1, 0), 4: (4, 0)}
+
+
+def test_rolling_keeps_missing_keys_and_days(frame):
+    daily = frame("loc INT, day DATE, n BIGINT", [(None, "2024-01-01", 2), (None, "2024-01-02", 3), (1, "2024-01-02", 5), (1, None, 7)])
+    out = {(x.loc, str(x.day)): x.rolling_n for x in W.rolling(daily, 3, keys=("loc",)).collect()}
+    assert out == {(None, "2024-01-01"): 2, (None, "2024-01-02"): 5, (1, "2024-01-02"): 5, (1, "None"): None}
+
+
+def test_timeline_keeps_history_without_a_request(frame):
+    su = frame("request_id BIGINT, update_id BIGINT, new_status STRING, updated_at TIMESTAMP_NTZ",
+               [(None, 1, "assigned", "2024-01-01 00:00:00"), (None, 2, "resolved", "2024-01-02 00:00:00"), (5, 3, "assigned", "2024-01-01 00:00:00")])
+    r = frame("request_id BIGINT, status STRING, submitted_at TIMESTAMP_NTZ, assigned_at TIMESTAMP_NTZ, resolved_at TIMESTAMP_NTZ",
+              [(5, "assigned", None, None, None)])
+    out = sorted((str(x.request_id), x.step, x.is_current) for x in W.timeline(su, r).collect())
+    assert out == [("5", "Assigned", 1), ("None", "Assigned", 0), ("None", "Resolved", 1)]
