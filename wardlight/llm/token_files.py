@@ -21,6 +21,7 @@ stand first; rows of equal doc_id follow one another in an open order.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -77,6 +78,13 @@ def _zstd(dictionary: bytes):
     return zstandard.ZstdCompressor(level=3, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
 
 
+def _give_back() -> None:
+    """A worker that packs or reads returns the encoder's memory, and what Arrow holds unused."""
+    bpe.codec.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
     """Encode docs(doc_id, text), append `end_id` to each and write a token table to `out`."""
     spark = docs.sparkSession
@@ -112,7 +120,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of a task's rows, which come sorted by part and doc_id."""
-        bpe.codec.cache_clear()  # a worker that packs gives the encoder's memory back
+        _give_back()
         held: list[tuple] = []
         part, number, start = None, 0, 0
 
@@ -165,7 +173,7 @@ def read_rows(spark: SparkSession, out: str, finish, schema: str, doc_ids: list[
     only = None if doc_ids is None else set(doc_ids)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe.codec.cache_clear()  # a worker that reads gives the encoder's memory back
+        _give_back()
         decompress = _zstd(dictionary)[1].decompress
         for batch in small(batches, 1):
             (row,) = batch.to_pylist()
