@@ -364,5 +364,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, run: int =
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_kept (bytes that are left) of each row."""
+    left = F.col("n_bytes") - F.col("n_removed")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), left.alias("n_kept"))
