@@ -320,6 +320,51 @@ def test_sharding_keeps_groups_whole(spark):
         assert sum(len(s) > 1 for t, s in at.items() if t != "hot") <= (0 if rest is free else 23)
 
 
+def test_one_round_of_votes(spark):
+    """Granted moves against a plain version of the round."""
+    import random
+
+    rng = random.Random(12)
+    room = [30, 0, 25, 7]
+    votes = [(f"g{k}", size, s, rng.randrange(1, 9)) for k in range(40) for size in (rng.choice([2, 2, 3, 5, 9, 40]),) for s in rng.sample(range(4), 2)]
+    df = spark.createDataFrame(votes, "link string, size long, shard int, votes long")
+    got = {r["link"]: (r["size"], r["shard"]) for r in sharding._granted(df, room, 400, 1).collect()}
+    drawn = dict(df.select("link", (F.pmod(F.xxhash64("link", F.lit(1)), F.lit(62)))).distinct().collect())
+    tie = {(r[0], r[1]): r[2] for r in df.select("link").distinct().crossJoin(spark.range(4).select(F.col("id").cast("int").alias("s"))).select("link", "s", F.xxhash64("link", "s", F.lit(1))).collect()}
+    chunk = dict(df.select("link", F.pmod(F.xxhash64("link"), F.lit(sharding.CHUNKS))).distinct().collect())
+    wishes = {}
+    for link, size in {(v[0], v[1]) for v in votes}:
+        choices = {v[2]: v[3] for v in votes if v[0] == link}
+        choices.setdefault(next(i for i in range(4) if drawn[link] < sum(room[: i + 1])), 0)
+        fitting = [(n, tie[link, s], s) for s, n in choices.items() if room[s] >= size]
+        if fitting:
+            wishes.setdefault(max(fitting)[2], []).append((-(size.bit_length() - 1), chunk[link], link, size))
+    want = {}
+    for s, queue in wishes.items():
+        start = 0
+        for *_, link, size in sorted(queue):
+            if start + size <= room[s]:
+                want[link] = (size, s)
+            start += size
+    assert got == want and len(got) > 3
+    assert all(sum(size for size, s in got.values() if s == i) <= x for i, x in enumerate(room))
+
+
+def test_propagation_moves_groups_whole(spark):
+    """Rounds alone, without repair, unite nearly all groups, large ones first."""
+    sizes = {f"g{k}": n for k, n in enumerate([90, 70, 60, 45, 30, 30, *[9] * 60, *[2] * 100])}
+    rows = [(k * 1_000 + i, name) for k, (name, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "row long, link string")
+    label = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(24)).cast("int").alias("shard")
+    votes = df.groupBy("link", label).agg(F.count("*").alias("votes")).join(df.groupBy("link").agg(F.count("*").alias("size")), "link")
+    room = [100] * 24
+    settled, left = sharding.propagate(votes.select("link", "size", "shard", "votes"), room, 100, 2_400)
+    moved = [r for t in settled for r in t.collect()]
+    assert left.count() == 0 and {r["link"]: r["size"] for r in moved} == sizes and len(moved) == len(sizes)
+    used = [sum(r["size"] for r in moved if r["shard"] == i) for i in range(24)]
+    assert [100 - u for u in used] == room and min(room) >= 0
+
+
 def test_seats_fill_exactly():
     room = [100] * 24
     parts = sharding._seats([850, 70, 60, 50, 30], room)
