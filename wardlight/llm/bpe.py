@@ -117,24 +117,24 @@ class Codec:
             for word, i in self.tok.get_vocab(with_added_tokens=True).items():
                 plain = word not in self.specials and all(c in alphabet for c in word)
                 self.pieces[i] = bytes(alphabet[c] for c in word) if plain else word.encode()
-        self.config = config["model"]
-        self.merge = self._merger() if ranked else None
+        self.merge = self._merger(config["model"]) if ranked else None
 
-    def _merger(self):
+    def _merger(self, model: dict):
         """Ids of a word's bytes, merged by the rank of what a merge gives."""
         import tiktoken
 
-        vocab, alphabet = self.config["vocab"], _byte_alphabet()
-        tokens = [bytes([b]) for b in range(256)] + [bytes(alphabet[c] for c in t) for t in self._products()]
-        ids = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])] + [vocab[t] for t in self._products()]
+        vocab, alphabet, products = model["vocab"], _byte_alphabet(), self._products(model)
+        tokens = [bytes([b]) for b in range(256)] + [bytes(alphabet[c] for c in t) for t in products]
+        ids = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])] + [vocab[t] for t in products]
         merge = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})._encode_single_piece
         return merge if ids == list(range(len(ids))) else lambda word: [ids[r] for r in merge(word)]
 
-    def _products(self) -> list[str]:
+    @staticmethod
+    def _products(model: dict) -> list[str]:
         """What each merge gives, in order of rank."""
-        return ["".join(m.split(" ") if isinstance(m, str) else m) for m in self.config["merges"]]
+        return ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
 
-    def merges_by_rank(self) -> bool:
+    def merges_by_rank(self, model: dict) -> bool:
         """Whether merging any neighbours whose union is a token, by its rank, gives the library's ids.
 
         It does if each merge gives a token of its own that the library also finds for its bytes
@@ -142,11 +142,11 @@ class Codec:
         inside of it are the same as for the token alone, so its last two parts are those of its
         merge.
         """
-        if not self.byte_level or self.config.get("type") != "BPE":
+        if not self.byte_level or model.get("type") != "BPE":
             return False
-        if any(self.config.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
             return False
-        products, vocab = self._products(), self.config["vocab"]
+        products, vocab = self._products(model), model["vocab"]
         whole = len(set(products)) == len(products) and set(products) <= set(vocab) and set(_byte_alphabet()) <= set(vocab)
         return whole and all([i.id for i in self.tokenize(t)] == [vocab[t]] for t in products)
 
@@ -319,7 +319,8 @@ def by_rank(path: str) -> bool:
         import tiktoken  # noqa: F401
     except ImportError:
         return False
-    return Codec(path).merges_by_rank()
+    with open(path, encoding="utf-8") as f:
+        return Codec(path).merges_by_rank(json.load(f)["model"])
 
 
 def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: int = PIECE_CHARS, keep: bool = False) -> DataFrame:
