@@ -146,8 +146,8 @@ def propagate(votes: DataFrame, room: list[int], share: int, n_rows: int) -> tup
     `room` is brought up to date; `share` is the size of a shard.
     """
     settled, left, round_ = [], votes, 0
-    limits = [share // 2**k for k in range(1, LARGE.bit_length()) if 2**k <= LARGE] + [share // LARGE, 0]
-    for limit in limits:
+    limits = {share // 2**k for k in range(1, LARGE.bit_length())} | {share // LARGE, 0}
+    for limit in sorted(limits, reverse=True):
         for _ in range(ROUNDS):
             round_ += 1
             level = left.filter(F.col("size") > limit)
