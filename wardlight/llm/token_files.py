@@ -3,7 +3,7 @@
 A token table is a folder:
 
 * `dictionary/`: one Parquet row with the dictionary's bytes and its SHA-256.
-* `blocks/`: Parquet rows of up to `BLOCK_DOCS` documents in ascending doc_id order. A row holds
+* `blocks/`: Parquet rows of up to `BLOCK_DOCS` documents or `BLOCK_BYTES` bytes in ascending doc_id order. A row holds
   the ids' width, the SHA-256 of the dictionary, the documents' ids and token counts, the
   offset index and the frames one after the other. `first_doc` and `last_doc` let a reader of
   one document skip the other blocks; the offsets lead to its frame, which is read alone.
@@ -21,6 +21,8 @@ stand first; rows of equal doc_id follow one another in an open order.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import zlib
@@ -37,7 +39,9 @@ from wardlight.llm.common import small
 from wardlight.session import scratch_dir
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
-BLOCK_DOCS, PART_DOCS, MAX_PARTS = 512, 8_192, 10_000
+BLOCK_DOCS, PART_DOCS, MAX_PARTS = 128, 8_192, 10_000
+#: A block ends beyond so many bytes of frames: larger values cost the JVM whole heap regions.
+BLOCK_BYTES = 256 << 10
 #: Parquet row groups of the blocks: a reader holds one of them at a time.
 ROW_GROUP_BYTES = 16 << 20
 
@@ -79,10 +83,13 @@ def _zstd(dictionary: bytes):
 
 
 def _give_back() -> None:
-    """A worker that packs or reads returns the encoder's memory, and what Arrow holds unused."""
-    bpe.codec.cache_clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    """A worker that packs or reads returns the encoder's memory, and what Arrow and the C library hold unused."""
+    if bpe.codec.cache_info().currsize:
+        bpe.codec.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
@@ -122,7 +129,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
         """Blocks of a task's rows, which come sorted by part and doc_id."""
         _give_back()
         held: list[tuple] = []
-        part, number, start = None, 0, 0
+        part, number, start, size = None, 0, 0, 0
 
         def packed():
             ids, counts, frames = ([r[i] for r in held] for i in range(3))
@@ -132,13 +139,14 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
 
         for batch in batches:
             for p, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if held and (p != part or len(held) == BLOCK_DOCS):
+                if held and (p != part or len(held) == BLOCK_DOCS or size >= BLOCK_BYTES):
                     yield packed()
-                    number, start = number + 1, start + sum(r[1] for r in held)
+                    number, start, size = number + 1, start + sum(r[1] for r in held), 0
                     held = []
                 if p != part:
                     part, number, start = p, 0, 0
                 held.append(row)
+                size += len(row[2])
         if held:
             yield packed()
 
