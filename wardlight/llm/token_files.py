@@ -42,6 +42,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
 BLOCK_DOCS, PART_DOCS, MAX_PARTS = 128, 8_192, 10_000
 #: A block ends beyond so many bytes of frames: larger values cost the JVM whole heap regions.
 BLOCK_BYTES = 256 << 10
+#: Level of the frames' compression; higher ones save little under a dictionary and cost time.
+LEVEL = 1
 #: Parquet row groups of the blocks: a reader holds one of them at a time.
 ROW_GROUP_BYTES = 16 << 20
 
@@ -57,12 +59,10 @@ def fit_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> bytes
     import zstandard
 
     fit = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS))
-    order = F.xxhash64("doc_id")
-    bound = fit.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    if bound is None:
+    rows = fit.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).collect()  # one scan, SAMPLE_DOCS rows a task
+    if not rows:
         return b""
     enc = bpe.codec(path)
-    rows = fit.filter(order <= bound).limit(SAMPLE_DOCS).collect()
     samples = sorted(_serialize(enc.encode(r["text"]), end_id, width) for r in rows)
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
@@ -79,7 +79,7 @@ def _zstd(dictionary: bytes):
     import zstandard
 
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    return zstandard.ZstdCompressor(level=3, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
 
 
 def _give_back() -> None:
