@@ -269,19 +269,22 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_line
     size = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     ordered = (
         docs.filter(F.col("doc_id").isin(chosen))
-        .select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce(size, F.lit(1)).alias("lines"), F.octet_length("text").alias("bytes"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")  # of rows that share an id, one text is chosen here and read below
+        .agg(F.min(F.struct(F.xxhash64("text").alias("key"), F.coalesce(size, F.lit(1)).alias("lines"), F.octet_length("text").alias("bytes"))).alias("of"))
+        .select("doc_id", F.xxhash64("doc_id").alias("h"), "of.*")
         .orderBy("h", "doc_id")
         .collect()  # fit_docs rows
     )
-    taken, lines, n_bytes = [], 0, 0
+    taken, lines, n_bytes = {}, 0, 0
     for r in ordered:
         more, more_bytes = lines + r["lines"], n_bytes + (r["bytes"] or 0)
         if more > fit_lines or more_bytes > 100 * fit_lines:
             continue  # the next ones may fit
         lines, n_bytes = more, more_bytes
-        taken.append(r["doc_id"])
-    rows = {r["doc_id"]: bytes(r["text"]) for r in docs.filter(F.col("doc_id").isin(taken)).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["doc_id"]).collect()}
+        taken[r["doc_id"]] = r["key"]
+    read = docs.filter(F.col("doc_id").isin(list(taken)) & F.xxhash64("text").isin(list(taken.values())))
+    texts = read.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = {r["doc_id"]: bytes(r["text"]) for r in texts.dropDuplicates(["doc_id", "key"]).collect() if taken[r["doc_id"]] == r["key"]}
     ids = sorted(rows)
     return fit([rows[i] for i in ids], np.array([labelled[i] for i in ids])) if ids else None
 
