@@ -156,6 +156,22 @@ def test_models_tell_random_strings_from_words(spark):
     assert clean[901]["text"] == rows[-1][1]
 
 
+def test_words_clear_of_many_spans():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["token=abcdefgh12", "AKIA" + "Z9" * 7, "0af" * 12, "a_plain_identifier_of_words", " ", "=", "secret: "]) for _ in range(rng.randrange(40)))
+        base = secrets.base_spans(text)
+        for pattern in (secrets.WORD, secrets.IDENTIFIER):
+            want = [m[0] for m in pattern.finditer(text) if all(m.end() <= s or m.start() >= e for s, _, e, _ in base)]
+            assert [m[0] for m in secrets._clear_of(base, pattern, text)] == want
+    digits = "0123456789abcdef"
+    long = " ".join("".join(rng.choices(digits, k=40)) + " name_of_a_variable" for _ in range(100_000))
+    base = secrets.base_spans(long)
+    assert len(base) == 100_000 and len(secrets._clear_of(base, secrets.IDENTIFIER, long)) == 100_000
+
+
 # -- SimHash ------------------------------------------------------------------------------------
 
 
@@ -248,6 +264,11 @@ def test_strips_do_not_change_anchors(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, substrings.anchors(text)))
 
 
+def test_odd_distances_are_rejected(docs):
+    with pytest.raises(ValueError, match="even"):
+        simhash.near_duplicates(docs, max_bits=3)
+
+
 # -- decontamination ------------------------------------------------------------------------------
 
 

@@ -81,10 +81,16 @@ def ball(radius: int, bits: int = 64) -> np.ndarray:
 
 
 def links(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """a, b: pairs of distinct fingerprints at most `max_bits` apart that connect all such pairs."""
+    """a, b: pairs of distinct fingerprints at most `max_bits` apart that connect all such pairs.
+
+    `max_bits` is even: then all that share a value are near each other, and linking each with
+    the least of them loses nothing.
+    """
+    if max_bits % 2:
+        raise ValueError("max_bits must be even")
     spark = marks.sparkSession
     marks = materialize(marks.select("fingerprint").distinct(), "fingerprints")
-    masks = ball((max_bits + 1) // 2)
+    masks = ball(max_bits // 2)
     total = marks.count() * len(masks)
     rounds = int(max(1, min(ROUNDS, total // ROUND_VALUES)))
     tasks = int(max(1, -(-total // (rounds * TASK_VALUES))))
