@@ -342,15 +342,16 @@ def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: in
         if not keep:
             enc.forget()
 
-    def joined(key, pdf):
-        import pandas as pd
-
+    def joined(table: pa.Table) -> pa.Table:
+        """Joins one text's pieces and finishes it in the same worker, so a task has only one."""
         enc = codec(path, ranked)
-        parts = list(pdf.sort_values("piece")[["text", "ids"]].itertuples(index=False, name=None))
+        table = table.sort_by("piece")
+        parts = list(zip(table.column("text").to_pylist(), table.column("ids").to_pylist()))
         while len(parts) > 1:  # a tree of joins
             pairs = zip(parts[::2], parts[1::2])
             parts = [(a[0] + b[0], enc.join(*a, *b)) for a, b in pairs] + parts[len(parts) // 2 * 2 :]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").iloc[:1], "ids": [parts[0][1]]})
+        doc_id = pa.array(table.column("doc_id").slice(0, 1).to_pylist(), pa.int64())
+        return pa.Table.from_batches([finish(doc_id, [parts[0][1]])])
 
     piece = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string()), ("ids", pa.binary())])
 
@@ -360,10 +361,6 @@ def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: in
             ids = [enc.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "doc_id", "piece", "text")), pa.array(ids, pa.binary())], schema=piece)
 
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            yield finish(batch.column("doc_id"), batch.column("ids").to_pylist())
-
     cut = (
         rows.filter(long_text)
         .withColumn("row", F.monotonically_increasing_id())
@@ -373,8 +370,7 @@ def encode_rows(docs: DataFrame, path: str, finish, schema: str, piece_chars: in
         .repartition("row", "piece")
         .mapInArrow(pieces, "row long, doc_id long, piece int, text string, ids binary")
         .groupBy("row")
-        .applyInPandas(joined, "doc_id long, ids binary")
-        .mapInArrow(finished, schema)
+        .applyInArrow(joined, schema)
     )
     return rows.filter(~long_text).mapInArrow(whole, schema).unionByName(cut)
 
