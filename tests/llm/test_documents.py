@@ -460,3 +460,16 @@ def test_empty_tables(spark, no_docs):
         decontaminate.drop_contaminated(no_docs, bench),
     ):
         assert df.collect() == []
+
+
+def test_the_dictionary_is_fitted_on_a_bounded_sample(spark, monkeypatch):
+    from tests.llm.conftest import make_docs
+
+    sent = []
+    monkeypatch.setattr(token_files, "_serialize", lambda ids, end_id, width: sent.append(ids) or bytes(ids))
+    monkeypatch.setattr(token_files, "SAMPLE_DOCS", 20)
+    rows = [(None if i % 3 == 0 else i, f"document {i} of many, with words of its own {i * i}") for i in range(2_000)]
+    docs = make_docs(spark, rows)
+    token_files.fit_dictionary(docs, PATH, 0, 2, len(rows))
+    assert len(sent) == 20
+    assert token_files.fit_dictionary(make_docs(spark, [(1, None), (2, "")]), PATH, 0, 2, 2) == b""

@@ -10,7 +10,7 @@ A token table is a folder:
 * `parts/`: ids before each part (a run of blocks), a bounded table.
 
 The dictionary is fitted on at most `SAMPLE_DOCS` documents of at most `SAMPLE_CHARS` characters,
-taken by the order of a hash of doc_id. Everything else covers every row.
+those of the smallest hashes of doc_id and text. Everything else covers every row.
 
 There are at most `MAX_PARTS` parts; beyond 82 million documents a part, which one task sorts on
 disk and packs a block at a time, grows instead.
@@ -54,12 +54,18 @@ _BLOCK = (
 )
 
 
-def fit_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> bytes:
-    """A zstandard dictionary from a bounded sample; empty if there is too little to fit on."""
+def fit_dictionary(docs: DataFrame, path: str, end_id: int, width: int, n_docs: int) -> bytes:
+    """A zstandard dictionary from a bounded sample; empty if there is too little to fit on.
+
+    Of `n_docs` rows only those of the smallest hashes, about four times the sample, leave their
+    tasks, so what reaches the driver does not grow with the documents.
+    """
     import zstandard
 
-    fit = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS))
-    rows = fit.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).collect()  # one scan, SAMPLE_DOCS rows a task
+    fit = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").filter(F.length("text").between(1, SAMPLE_CHARS))
+    if n_docs > 4 * SAMPLE_DOCS:
+        fit = fit.filter(F.col("h") < -(1 << 63) + (1 << 64) * 4 * SAMPLE_DOCS // n_docs)
+    rows = fit.orderBy("h", "text").limit(SAMPLE_DOCS).collect()
     if not rows:
         return b""
     enc = bpe.codec(path)
@@ -96,11 +102,11 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
     """Encode docs(doc_id, text), append `end_id` to each and write a token table to `out`."""
     spark = docs.sparkSession
     width = 2 if bpe.codec(path).tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
-    dictionary = fit_dictionary(docs, path, end_id, width)
+    n = docs.count()
+    dictionary = fit_dictionary(docs, path, end_id, width, n)
     sha = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(bytearray(dictionary), sha)], "bytes binary, sha256 string").write.parquet(f"{out}/dictionary")
 
-    n = docs.count()
     parts = int(min(MAX_PARTS, max(1, -(-n // PART_DOCS))))
     first = np.iinfo(np.int64).min  # null ids stand first
     known_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(first)))
