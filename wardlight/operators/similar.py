@@ -47,17 +47,44 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return ordered.filter(F.col("_at") <= F.col("_n") - F.expr(f"({percent} * _n + 99) div 100") + 1)
 
 
+#: Longs of a set's sketch, and of the short one that candidates carry.
+SKETCH, SHORT = 16, 4
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """Sets with the parities of their words over 64 * SKETCH hash values, and the same folded to SHORT longs.
+
+    Two sketches differ in at most as many bits as there are words in one set alone.
+    """
+    bit = "shiftleft(1L, cast(w & 63 as int))"
+    parity = "aggregate(_words, 0L, (m, w) -> m ^ if((shiftright(w, 6) & {0}) = {1}, " + bit + ", 0L)) AS _k{1}"
+    whole = sets.select("*", *(F.expr(parity.format(SKETCH - 1, j)) for j in range(SKETCH)))
+    folded = (" ^ ".join(f"_k{k}" for k in range(j, SKETCH, SHORT)) + f" AS _s{j}" for j in range(SHORT))
+    return whole.select("*", *(F.expr(f) for f in folded))
+
+
+def _near(mine: str, other: str, longs: int, n: Column, percent: int) -> Column:
+    """Whether two sketches differ in so few bits that sets of `n` words in all may be similar."""
+    apart = sum((F.bit_count(F.col(f"{mine}{j}").bitwiseXOR(F.col(f"{other}{j}"))) for j in range(longs)), F.lit(0))
+    return apart * (100 + percent) <= n * (100 - percent)
+
+
 def _may_match(percent: int) -> Column:
-    """Whether sizes and places of the shared word leave enough words in common."""
+    """Whether sizes, places of the shared word and sketches leave enough words in common."""
     small, large = F.least("_n", "n"), F.greatest("_n", "n")
     common = 1 + F.least(F.col("_n") - F.col("_at"), F.col("n") - F.col("at"))
-    return (small * 100 >= large * percent) & (common * (100 + percent) >= (F.col("_n") + F.col("n")) * percent)
+    both = F.col("_n") + F.col("n")
+    may = (small * 100 >= large * percent) & (common * (100 + percent) >= both * percent)
+    return may & _near("_s", "s", SHORT, both, percent)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose word sets really are that similar."""
+    """Those pairs (a, b) whose word sets really are that similar; whole sets go only to pairs of near sketches."""
+    told = lambda c: sets.select(F.col("_rep").alias(c), F.col("_n").alias(f"{c}_n"), *(F.col(f"_k{j}").alias(f"{c}_k{j}") for j in range(SKETCH)))
+    known = pairs.distinct().join(told("a"), "a").join(told("b"), "b")
+    near = known.filter(_near("a_k", "b_k", SKETCH, F.col("a_n") + F.col("b_n"), percent)).select("a", "b")
     of = lambda c: sets.select(F.col("_rep").alias(c), F.col("_words").alias(f"_{c}"))
-    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    both = near.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("_a", "_b"))
     alike = common * 100 >= (F.size("_a") + F.size("_b") - common) * percent
     return both.filter(alike).select("a", "b")
@@ -75,7 +102,8 @@ def similar_requests(r: DataFrame, id_col: str, text: str, block: list[str], per
     Equal sets are one set from the start. Candidates share one of their rarest words, and sizes
     and the word's place must allow the similarity; only then the sets are compared. A large group
     never gives all its pairs: first the sets that share a rare word are compared with the smallest
-    of them, and afterwards only sets which that has not joined.
+    of them, and afterwards only sets which that has not joined. Candidates carry sketches of their sets,
+    which rule out nearly all unlike ones before any set is sent to a pair.
     """
     hashes = F.array_sort(F.transform(word_set(text), lambda w: F.xxhash64(w)))
     rows = r.select(F.col(id_col).cast("long").alias("_id"), F.struct(*block).alias("_block"), hashes.alias("_words"))
@@ -84,11 +112,14 @@ def similar_requests(r: DataFrame, id_col: str, text: str, block: list[str], per
     first = keyed.groupBy("_block", "_print").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"))
     first = materialize(first, "first-of-equals")
     reps = first.select(F.col("_rep").alias("_id"))
-    sets = materialize(keyed.join(reps, "_id", "left_semi").select(F.col("_id").alias("_rep"), "_block", "_n", "_words"), "sets")
-    prefix = materialize(_prefixes(sets, percent), "prefixes")
-
-    smallest = F.min(F.struct("_n", "_rep", "_at")).alias("_s")
-    pivot = prefix.groupBy("_block", "_w").agg(smallest).select("_block", "_w", F.col("_s._n").alias("n"), F.col("_s._rep").alias("b"), F.col("_s._at").alias("at"))
+    firsts = keyed.join(reps, "_id", "left_semi").select(F.col("_id").alias("_rep"), "_block", "_n", "_words")
+    sets = materialize(_sketches(firsts), "sets")
+    bits, other_bits = [f"_s{j}" for j in range(SHORT)], [F.col(f"_s{j}").alias(f"s{j}") for j in range(SHORT)]
+    prefix = materialize(_prefixes(sets, percent).join(sets.select("_rep", *bits), "_rep"), "prefixes")
+
+    smallest = F.min(F.struct("_n", "_rep", "_at", *bits)).alias("_least")
+    pivot = prefix.groupBy("_block", "_w").agg(smallest).select("_block", "_w", "_least.*")
+    pivot = pivot.select("_block", "_w", F.col("_n").alias("n"), F.col("_rep").alias("b"), F.col("_at").alias("at"), *other_bits)
     near = prefix.join(pivot, ["_block", "_w"]).filter((F.col("_rep") != F.col("b")) & _may_match(percent))
     links = materialize(_similar(near.select(F.col("_rep").alias("a"), "b"), sets, percent), "links")
 
@@ -97,7 +128,7 @@ def similar_requests(r: DataFrame, id_col: str, text: str, block: list[str], per
     tagged = materialize(tagged, "prefixes-grouped")
     split = tagged.groupBy("_block", "_w").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).filter("lo <> hi").select("_block", "_w")
     apart = tagged.join(split, ["_block", "_w"], "left_semi")
-    other = apart.select("_block", "_w", F.col("_rep").alias("b"), F.col("_n").alias("n"), F.col("_at").alias("at"), F.col("_root").alias("root"))
+    other = apart.select("_block", "_w", F.col("_rep").alias("b"), F.col("_n").alias("n"), F.col("_at").alias("at"), F.col("_root").alias("root"), *other_bits)
     across = apart.join(other, ["_block", "_w"]).filter((F.col("_rep") < F.col("b")) & (F.col("_root") != F.col("root")) & _may_match(percent))
     more = _similar(across.select(F.col("_rep").alias("a"), "b"), sets, percent)
 
