@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from wardlight.operators import notify as N
 from wardlight.sources.store import Files, KeyedTable, Store
 from wardlight.streaming import jobs as X
 from wardlight.streaming.worker import QUEUE, QueueWorker
@@ -225,3 +226,29 @@ def test_worker_over_a_stream(spark, make_worker, tmp_path):
     worker.work_off(NOW)
     assert states(worker)[3][:2] == ("failed", 3)
     assert [s[1] for s in server.sent].count("k1:1") == 1
+
+
+def test_worker_joins_only_rows_that_are_asked_for(spark, make_worker):
+    """Facts, users and preferences that no due message names are not joined to the messages."""
+    worker = make_worker(Server(spark))
+    worker.step(spark.createDataFrame([queue_row(1), queue_row(2, user=None), queue_row(3, user=3, request=2, minute=5)], QUEUE), NOW)
+    held = {name: spark.read.parquet(f"{worker.store.path}/asked_{name}/v=0").collect() for name in ("facts", "usr", "prefs")}
+    assert [r.request_id for r in held["facts"]] == [1] and [r.user_id for r in held["usr"]] == [1] and held["prefs"] == []
+    assert states(worker)[1] == ("sent", 1, None) and states(worker)[2] == ("failed", 1, "No recipient email")
+
+
+def test_templates_are_cut_once_and_not_per_message(spark):
+    templates = spark.createDataFrame(
+        [("a", "{{x}}{{ y }}-{{no}}", None, 1), ("b", None, "left out", 1), ("c", "old", "old", 0), ("a", "again {{  x}}", "{{{x}}} {{\tx}}{{y", 1)],
+        "template_key string, subject_template string, html_template string, is_active int",
+    )
+    rows = spark.createDataFrame([("a", "{{y}}", 7), ("b", None, 1), ("complaint_resolved", "v", None), (None, "n", 2)], "template_key string, one string, two int")
+    out = N.render(rows, templates, {"x": "one", "y": "two", "complaint_code": "one"})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    messages = plan[: plan.index("Join")]
+    assert "zip_with" in messages and "split(" not in messages and "regexp" not in messages
+    got = {(r.template_key, r.subject): r.html for r in out.collect()}
+    assert got["a", "{{y}}7-"] == "" and got["a", "again {{y}}"] == "} {{y}}{{y"
+    receipt = "<p>Hello ,</p><p>Your complaint <strong>%s</strong> has been received.</p>"
+    assert got["b", "Complaint Received - "].startswith(receipt % "") and got[None, "Complaint Received - n"].startswith(receipt % "n")
+    assert ("complaint_resolved", "Complaint resolved - v") in got and len(got) == 5

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.functions.columns import as_of_ts, fill_template, map_value
+from wardlight.functions.columns import as_of_ts, cut_template, fill_cut, map_value
 from wardlight.functions.measures import n_rows
 from wardlight.operators.joins import with_actor_names
 from wardlight.operators.windows import flag_first, join_null_safe
@@ -181,17 +181,18 @@ def ensure_templates(templates: DataFrame) -> DataFrame:
 
 def render(q: DataFrame, templates: DataFrame, context: dict, spark=None) -> DataFrame:
     """Subject and body per queue row from its active template, else the default of its key,
-    else the receipt."""
+    else the receipt. Templates are cut at their marks before the join, not once per message."""
     spark = spark or q.sparkSession
-    active = templates.filter("is_active = 1").select("template_key", "subject_template", "html_template")
-    base = default_templates(spark).selectExpr("template_key", "subject_template AS _ds", "html_template AS _dh")
-    receipt_subject, receipt_html = DEFAULT_TEMPLATES["complaint_received"]
+    cuts = cut_template("subject_template"), cut_template("html_template")
+    found = F.col("subject_template").isNotNull().alias("_found")
+    active = templates.filter("is_active = 1").select("template_key", found, cuts[0].alias("_subject"), cuts[1].alias("_html"))
+    base = default_templates(spark).select("template_key", cuts[0].alias("_ds"), cuts[1].alias("_dh"))
+    receipt_subject, receipt_html = (cut_template(F.lit(t)) for t in DEFAULT_TEMPLATES["complaint_received"])
     joined = q.join(active, "template_key", "left").join(base, "template_key", "left")
-    found = F.col("subject_template").isNotNull()
-    subject = F.when(found, F.col("subject_template")).otherwise(F.coalesce("_ds", F.lit(receipt_subject)))
-    html = F.when(found, F.col("html_template")).otherwise(F.coalesce("_dh", F.lit(receipt_html)))
-    return joined.withColumns({"subject": fill_template(subject, context), "html": fill_template(html, context)}).drop(
-        "subject_template", "html_template", "_ds", "_dh"
+    subject = F.when(F.col("_found"), F.col("_subject")).otherwise(F.coalesce("_ds", receipt_subject))
+    html = F.when(F.col("_found"), F.col("_html")).otherwise(F.coalesce("_dh", receipt_html))
+    return joined.withColumns({"subject": fill_cut(subject, context), "html": fill_cut(html, context)}).drop(
+        "_found", "_subject", "_html", "_ds", "_dh"
     )
 
 

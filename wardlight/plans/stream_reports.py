@@ -123,8 +123,9 @@ def _mail_server(messages):
 def x05(r):
     """The queue comes as a stream and is worked off; the last failed try is read from the log's JSON."""
     source = scratch_dir(r.spark, "x05-queue")
-    NR.queue(r).repartition(3).write.parquet(source)
-    stream = X.read_stream(r.spark, source, QUEUE_SCHEMA, 2)
+    cores = r.spark.sparkContext.defaultParallelism
+    NR.queue(r).repartition(3 * cores, "queue_id").write.parquet(source)
+    stream = X.read_stream(r.spark, source, QUEUE_SCHEMA, 2 * cores)
     templates = r.values([("none", "", "", 0)], "template_key, subject_template, html_template, is_active")
     facts = r.requests(resolved=False).filter("request_id % 13 <> 0").select("request_id", "code")
     worker = QueueWorker(

@@ -12,7 +12,7 @@ from wardlight.functions.columns import as_of_ts
 from wardlight.operators import notify as N
 from wardlight.operators.windows import join_null_safe
 from wardlight.sources import schemas
-from wardlight.sources.store import Store
+from wardlight.sources.store import Change, Store
 from wardlight.sources.tables import align_schema
 
 QUEUE = schemas.fields(
@@ -74,15 +74,26 @@ class QueueWorker:
         known = f"{version}.json" in self.store.files.names(f"{self.store.path}/intents")
         return json.loads(self.store.files.read(self._intent(version))) if known else None
 
-    def _picked(self, waiting: DataFrame, now: str) -> DataFrame:
-        """Rows to handle now, with recipient, subject and body, or the reason not to send them."""
+    def _picked(self, change: Change, waiting: DataFrame, now: str) -> DataFrame:
+        """Rows to handle now, with recipient, subject and body, or the reason not to send them.
+
+        Of facts, users and preferences only the rows that due messages ask for are joined. They are
+        written first, so that Catalyst knows how few they are and need not shuffle the messages.
+        """
         if self.batch_size is None:
             due = waiting.filter((F.col("status") == "queued") & (F.col("scheduled_at") <= as_of_ts(now)))
         else:
-            due = N.due_batch(waiting, now, self.batch_size)
-        known = self.facts.withColumn("_known", F.lit(True))
+            due = change.append("due", N.due_batch(waiting, now, self.batch_size))
+        asked = change.append("asked", due.select("request_id", "user_id").distinct())
+
+        def of(name: str, table: DataFrame, key: str) -> DataFrame:
+            return change.append(f"asked_{name}", table.join(asked, key, "left_semi"))
+
+        known = of("facts", self.facts, "request_id").withColumn("_known", F.lit(True))
+        usr = of("usr", self.usr.select("user_id", "email"), "user_id")
+        prefs = of("prefs", self.prefs.select("user_id", "preferred_email", "opted_out"), "user_id")
         about = due.join(known, "request_id", "left")
-        addressed = N.resolve_recipients(about, self.prefs, self.usr)
+        addressed = N.resolve_recipients(about, prefs, usr)
         missing = F.col("_known").isNull()
         judged = addressed.withColumns(
             {
@@ -126,7 +137,7 @@ class QueueWorker:
         if new is not None:
             arrived = change.append("arrived", align_schema(new, QUEUE, {"attempts": 0, "max_attempts": N.MAX_ATTEMPTS}))
             waiting = waiting.unionByName(arrived)
-        picked = change.once("picked", lambda: self._picked(waiting, now))
+        picked = change.once("picked", lambda: self._picked(change, waiting, now))
         outcomes = change.once("outcomes", lambda: self._outcomes(picked))
 
         tried = picked.filter("status = 'processing'").withColumn("attempts", F.col("attempts") - 1)
