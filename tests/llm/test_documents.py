@@ -257,6 +257,17 @@ def test_repeated_substrings(docs, rows, length, q, run):
     assert found(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_removal(rows, length)
 
 
+def test_passages_count_by_bytes(spark):
+    """Passages of over 50 words that two documents share: 399 bytes stay, 400 go."""
+    shared = lambda mark, end: " ".join(f"{mark}{i:05d}" for i in range(57)) + end
+    short, whole = shared("s", " "), shared("w", " z")
+    assert (len(short), len(whole)) == (399, 400)
+    docs = spark.createDataFrame([(1, "a" + short + "b"), (2, "c" + short + "d"), (3, "e" + whole + "f"), (4, "g" + whole + "h")], "doc_id long, text string")
+    got = substrings.removal_digests(docs).select("doc_id", "n_removed", "n_spans", "n_kept", "kept_sha256").collect()
+    want = [(1, 0, 0, 401, f"a{short}b"), (2, 0, 0, 401, f"c{short}d"), (3, 400, 1, 2, "ef"), (4, 400, 1, 2, "gh")]
+    assert sorted(tuple(r) for r in got) == [(*w[:4], sha(w[4].encode())) for w in want]
+
+
 def test_strips_do_not_change_anchors(monkeypatch):
     text = np.random.default_rng(0).integers(97, 101, 5_000).astype(np.uint8)
     whole = substrings.anchors(text)
