@@ -11,7 +11,9 @@ than any other row (tests measure recall against all rows). Every candidate a ra
 scored; no range is cut.
 
 Queries and shards meet block by block. A query block is sent to each shard, so the work of a
-query grows with the number of shards; no pair of rows is ever a row of a table.
+query grows with the number of shards; no pair of rows is ever a row of a table. Shards and blocks
+are sorted and merged: Catalyst guesses the blocks as large as before they were repeated per shard,
+and would send all of the copies through the driver.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take
 no part, nor do rows of null vec_id; vectors meet those of their own length only; equal rows are
@@ -33,6 +35,8 @@ from wardlight.llm.common import materialize
 TREES, BITS = 64, 32
 SHARE, LEAST = 0.6, 300
 SHARD_ROWS, BLOCK_QUERIES = 16_384, 2_048
+#: Queries whose products with a shard's rows are in memory at a time.
+AT_A_TIME = 128
 _FOREST = "dim int, shard int, rows binary, vec_ids binary, vectors binary, strings binary, orders binary"
 _BLOCK = "dim int, block int, rows binary, vec_ids binary, vectors binary"
 
@@ -101,6 +105,15 @@ def nearest(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) ->
     return best, score[best]
 
 
+def hopeful(near: np.ndarray, products: np.ndarray, norms: np.ndarray, dim: int, k: int) -> np.ndarray:
+    """Those of the rows `near` that can be among the k best: by products in any order of summing, with room for their rounding."""
+    if len(near) <= k or not (norms.min() > 1e-250 and norms.max() < float("inf")):
+        return near
+    score = products / norms
+    line = np.partition(score, len(score) - k)[len(score) - k]
+    return near[score >= line - 8 * (dim + 8) * np.finfo(np.float64).eps]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, trees: int = TREES, bits: int = BITS, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_row, query_id, rank, vec_id, score; both inputs have the columns of `usable`."""
     n_rows, n_queries = vectors.count(), queries.count()
@@ -127,23 +140,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, trees: int = TREES, b
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in ({n: batch.column(n)[i].as_buffer() for n in batch.schema.names} for i in range(batch.num_rows)):
                 ids, rows = np.frombuffer(r["vec_ids"], np.int64), np.frombuffer(r["rows"], np.int64)
                 x = np.frombuffer(r["vectors"]).reshape(len(ids), -1)
                 strings = np.frombuffer(r["strings"], np.uint64).reshape(trees, -1)
                 orders = np.frombuffer(r["orders"], np.int32).reshape(trees, -1)
                 q_ids, q_rows = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_rows"], np.int64)
                 q = np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1)
-                found = []
+                found, norms, q_norms = [], np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
                 reach = candidates(strings, orders, bit_strings(q, trees, bits), int(share * len(ids)) + least, bits)
                 for i, near in enumerate(reach):
+                    if i % AT_A_TIME == 0:
+                        products = q[i : i + AT_A_TIME] @ x.T
                     near = near[rows[near] != q_rows[i]]
+                    near = hopeful(near, products[i % AT_A_TIME, near], norms[near] * q_norms[i], x.shape[1], k)
                     best, score = nearest(x[near], ids[near], q[i], k)
                     found.append((np.full(len(best), q_rows[i]), np.full(len(best), q_ids[i]), ids[near[best]], score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found), out)], schema=out)
 
     sent = asked.select("dim", F.col("rows").alias("q_rows"), F.col("vec_ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    local = forest.join(sent, ["dim", "shard"]).drop("dim", "shard").mapInArrow(look, "query_row long, query_id long, vec_id long, score double")
+    local = sent.hint("merge").join(forest, ["dim", "shard"]).drop("dim", "shard").mapInArrow(look, "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
 
