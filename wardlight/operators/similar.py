@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardlight.operators.community import word_set
 from wardlight.session import materialize
 
 
@@ -105,7 +104,9 @@ def similar_requests(r: DataFrame, id_col: str, text: str, block: list[str], per
     of them, and afterwards only sets which that has not joined. Candidates carry sketches of their sets,
     which rule out nearly all unlike ones before any set is sent to a pair.
     """
-    hashes = F.array_sort(F.transform(word_set(text), lambda w: F.xxhash64(w)))
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # numbers are made distinct and sorted natively, strings one by one
+    hashes = F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
     rows = r.select(F.col(id_col).cast("long").alias("_id"), F.struct(*block).alias("_block"), hashes.alias("_words"))
     spoken = rows.filter(F.size("_words") > 0).withColumns({"_print": F.xxhash64("_words"), "_n": F.size("_words")})
     keyed = materialize(spoken, "word-sets")
